@@ -48,3 +48,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+def map_texts(df: DataFrame, fn, schema: str, keep: list[str], text: str = "text") -> DataFrame:
+    """A row per row of df: `keep` columns, then the values of fn(text as bytes) under the names of `schema`. Null text: b""."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(schema)
+    whole = StructType([df.schema[k] for k in keep] + list(added))
+    arrow = to_arrow_schema(added)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                x = b.slice(i, 1024)
+                rows = [fn(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in x["_text"]]
+                cols = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), arrow)]
+                yield pa.RecordBatch.from_arrays([x[k] for k in keep] + cols, keep + arrow.names)
+
+    return df.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, whole)
+
+
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, one without words none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = mixed(np.fromiter((hash64(w) for w in words), np.uint64, len(words)))
+    if len(h) < width:
+        out = np.array([len(h)], np.uint64)
+        for x in h:
+            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + x)
+        return out
+    out = np.zeros(len(h) - width + 1, np.uint64)
+    for k in range(width):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
+    return np.unique(out)
+
+
+def hash64(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word)
