@@ -117,9 +117,24 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame) -> DataFrame:
-    """docs without those that get `und`: no decision on a text with letters is a rejection, so clean texts stay."""
-    return docs.where(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
+def filtered(docs: DataFrame) -> DataFrame:
+    """docs without the rows that get `und`; a null lang gets the prediction. The model is fit on docs, so texts of any learned
+    language stay, whatever their score."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    model, kept = train(docs), StructType(list(docs.schema) + [StructField("lang_pred", StringType())])
+    some = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
+    names = docs.columns
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                p = b.slice(i, 512)
+                said = predict(model, np.stack([features(t.as_py().encode()) for t in p["text"]]))[0] if model and p.num_rows else ["und"] * p.num_rows
+                yield pa.RecordBatch.from_arrays([p[k] for k in names] + [pa.array(said, pa.string())], names + ["lang_pred"])
+
+    out = docs.where(some).mapInArrow(run, kept).where("lang_pred <> 'und'")
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
