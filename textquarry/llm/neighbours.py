@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, table
 
-TABLES, HASHES, WIDTH, PROBES, BLOCK, NEAREST, EVERY = 12, 4, 0.35, 60, 4096, 5, 50
+TABLES, HASHES, WIDTH, PROBES, BLOCK, NEAREST, EVERY = 6, 3, 1.0, 60, 4096, 5, 50
 
 
 def _planes(dim: int) -> tuple[np.ndarray, np.ndarray]:
