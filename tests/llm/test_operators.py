@@ -136,7 +136,7 @@ def test_neighbours(spark):
 
 def test_outlier_statistics():
     t = b"a b c d e f g h\nx\na b c d e f g h\n\nx #"
-    assert outliers.statistics(t) == (19, 19, 1, 1, 16)
+    assert outliers.statistics(t) == (19, 19, 1, 1, 18)
     assert outliers.statistics(b"") == (0, 0, 0, 0, 0)
 
 

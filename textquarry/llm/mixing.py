@@ -95,7 +95,8 @@ def mix(docs: DataFrame) -> DataFrame:
     copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.col("rounds") + F.when(F.col("more") > 0, 1).otherwise(0)).cast("int")
     j = j.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     part = (F.col("_copy") == F.col("rounds")) & (F.col("more") < F.col("_size")) & (F.col("_size") > 0)
-    cut = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*+){', cast(least(more, 100000000L) as string), '}'), 0)")
+    each = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word and the space before it
+    cut = F.array_join(F.slice(each, 1, F.greatest(F.col("more"), F.lit(0)).cast("int")), "")
     share = F.when(F.col("target") > 0, (F.col("start") + F.col("_copy") * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
     j = j.withColumn("text", F.when(part, cut).otherwise(F.col("text"))).withColumn("_at", time_of(F.least(share, F.lit(1.0)), F.col("number")))
     if "n_chars" in docs.columns:
