@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -77,7 +78,7 @@ def shingles(text: bytes, width: int = 5) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = mixed(np.fromiter((hash64(w) for w in words), np.uint64, len(words)))
+    h = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
     if len(h) < width:
         out = np.array([len(h)], np.uint64)
         for x in h:
@@ -88,8 +89,3 @@ def shingles(text: bytes, width: int = 5) -> np.ndarray:
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
     return np.unique(out)
 
-
-def hash64(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
