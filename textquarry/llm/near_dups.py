@@ -1,14 +1,16 @@
 """Near duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
-Texts with the same shingle set form a class, which its smallest doc_id represents. A signature has 48 components of 8 bits. Two
+Texts with the same shingle set form a class, which its smallest doc_id represents. A signature has 48 components of 16 bits. Two
 sets of Jaccard similarity J differ in each component with probability under 1 - J, so at 0.85 more than 19 of 48 differ about
 once in 50,000 pairs. By pigeonhole, signatures that differ in at most 19 components differ in at most one component of one of
 ten chunks; each chunk is therefore indexed with each of its components left out, and the join on those keys finds every such
 pair. Links are confirmed on full shingle sets.
 
 Links are found in two rounds, so that a large group costs no square: first each class meets only the nearest of its keys'
-leaders; then classes that are still in different components meet under their common keys. Components come from alternating
-star contractions on tables in the shared folder; no links or labels go to the driver.
+leaders; then classes that are still in different components meet under their common keys, component by component, so that
+none is compared within its own. The index holds keys and ids alone: signatures and texts are joined to the pairs, and only
+texts of classes that share a key are moved. Components come from alternating star contractions on tables in the shared folder;
+no links or labels go to the driver.
 
 Null and empty texts have no shingle, link with nothing and are kept. Rows with a null doc_id link with nothing and are kept.
 Repeated rows fall in one class. Extra columns are not read.
@@ -29,11 +31,11 @@ SEEDS = mixed(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 
 
 def signature(s: np.ndarray) -> bytes:
-    """The low byte of the mixed minimum of each of K orders of the set: its mixed hashes times odd numbers."""
+    """The low 16 bits of the mixed minimum of each of K orders of the set: its mixed hashes times odd numbers."""
     least = np.full(K, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 4096):
         least = np.minimum(least, (SEEDS[:, None] * s[i : i + 4096]).min(1))
-    return (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
+    return (mixed(least) & np.uint64(65535)).astype("<u2").tobytes()
 
 
 def _described(text: bytes) -> tuple:
@@ -45,25 +47,27 @@ def _described(text: bytes) -> tuple:
 
 
 def distance(a: Column, b: Column) -> Column:
-    """How many of the bytes of two arrays of 6 longs differ."""
+    """How many of the 16-bit components of two arrays of 12 longs differ."""
     total = None
-    for i in range(K // 8):
+    for i in range(K // 4):
         x = a[i].bitwiseXOR(b[i])
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+        for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
         total = F.bit_count(x) if total is None else total + F.bit_count(x)
     return total
 
 
 def _keys(sig: Column) -> Column:
-    byte = lambda i: F.shiftrightunsigned(sig[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255))
+    """Hashes of each chunk with each of its components left out; a clash of hashes is only one more candidate."""
+    part = lambda i: F.shiftrightunsigned(sig[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(65535))
     bounds = [K * c // CHUNKS for c in range(CHUNKS + 1)]
-    keys = []
-    for lo, hi in zip(bounds, bounds[1:]):
-        for out in range(lo, hi):
-            packed = functools.reduce(lambda x, i: F.shiftleft(x, 8).bitwiseOR(byte(i)), [i for i in range(lo, hi) if i != out], F.lit(out).cast("long"))
-            keys.append(packed)
-    return F.array(*keys)
+    return F.array(*[F.xxhash64(F.lit(out), *[part(i) for i in range(lo, hi) if i != out]) for lo, hi in zip(bounds, bounds[1:]) for out in range(lo, hi)])
+
+
+def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """pairs (a, b) with `far`, the distance of their signatures, where it is at most MOST."""
+    x, y = reps.select(F.col("rep").alias("a"), F.col("sig").alias("s")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("t"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", distance(F.col("s"), F.col("t")).alias("far")).where(F.col("far") <= MOST)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -113,19 +117,25 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     told = materialise(map_texts(docs, _described, "n_shingles long, print string, sig array<long>", ["doc_id"]), "signatures")
     real = told.where("print is not null and doc_id is not null")
     reps = materialise(real.groupBy("print").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")), "classes")
-    index = reps.select("rep", "sig", F.explode(_keys(F.col("sig"))).alias("key"))
-    lead = index.groupBy("key").agg(F.min("rep").alias("b"), F.min_by("sig", "rep").alias("bsig"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    near = index.join(lead, "key").where(F.col("rep") != F.col("b")).select(F.col("rep").alias("a"), "b", distance(F.col("sig"), F.col("bsig")).alias("far")).where(F.col("far") <= MOST)
+    index = reps.select("rep", F.explode(_keys(F.col("sig"))).alias("key"))
+    lead = index.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").drop("last")
+    index = materialise(index.join(lead, "key"), "index")
+    met = index.select("rep").distinct()
+    texts = materialise(docs.join(met, docs["doc_id"] == met["rep"]).select("doc_id", "text"), "texts")
+    near = _near(index.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), reps)
     first = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", "x.b")
-    links = materialise(_linked(first, docs, percent), "links")
+    links = materialise(_linked(first, texts, percent), "links")
     some = materialise(components(links), "some")
-    part = index.join(some, index["rep"] == some["node"], "left").select("key", "rep", "sig", F.coalesce("root", "rep").alias("root"))
-    part = materialise(part, "index")
-    many = part.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    part = part.join(many, "key", "left_semi")
-    x, y = part.select("key", F.col("rep").alias("a"), F.col("sig").alias("s"), F.col("root").alias("ra")), part.select("key", F.col("rep").alias("b"), F.col("sig").alias("t"), F.col("root").alias("rb"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (distance(F.col("s"), F.col("t")) <= MOST)).select("a", "b").distinct()
-    links = links.unionByName(_linked(materialise(rest, "rest"), docs, percent))
+    part = index.join(some, index["rep"] == some["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    heads = part.groupBy("key", "root").agg(F.lit(1).alias("one")).select("key", "root")
+    many = heads.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    part = materialise(part.join(many, "key", "left_semi"), "parts")
+    heads = part.select("key", "root").distinct()
+    both = heads.select("key", F.col("root").alias("ra")).join(heads.select("key", F.col("root").alias("rb")), "key").where("ra < rb")
+    x, y = part.select("key", F.col("root").alias("ra"), F.col("rep").alias("a")), part.select("key", F.col("root").alias("rb"), F.col("rep").alias("b"))
+    rest = both.join(x, ["key", "ra"]).join(y, ["key", "rb"]).select("a", "b").distinct()
+    rest = _near(rest, reps).select("a", "b")
+    links = links.unionByName(_linked(materialise(rest, "rest"), texts, percent))
     roots = materialise(components(links), "roots")
     ids = reps.join(roots, reps["rep"] == roots["node"], "left").select("print", F.coalesce("root", "rep").alias("root"))
     out = told.join(ids, "print", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

@@ -73,19 +73,32 @@ def map_texts(df: DataFrame, fn, schema: str, keep: list[str], text: str = "text
     return df.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, whole)
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the frequent ones; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) < 64:
+            self[word] = out
+        return out
+
+    def __reduce__(self) -> tuple:
+        return WordHashes, ()  # tasks start with an empty one
+
+
+_HASHES = WordHashes()
+
+
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, one without words none."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-    if len(h) < width:
-        out = np.array([len(h)], np.uint64)
-        for x in h:
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + x)
-        return out
-    out = np.zeros(len(h) - width + 1, np.uint64)
-    for k in range(width):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
-    return np.unique(out)
-
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    n = min(len(h), width)
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):  # word hashes are uniform: odd factors tell places apart
+        out += h[k : len(h) - n + 1 + k] * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 + 2 * n & 0xFFFFFFFFFFFFFFFF)
+    return np.unique(mixed(out))
