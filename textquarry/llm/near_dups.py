@@ -6,8 +6,8 @@ once in 50,000 pairs. By pigeonhole, signatures that differ in at most 19 compon
 ten chunks; each chunk is therefore indexed with each of its components left out, and the join on those keys finds every such
 pair. Links are confirmed on full shingle sets.
 
-Links are found in two rounds, so that a large group costs no square: first each class meets only the nearest of its keys'
-leaders; then classes that are still in different components meet under their common keys, component by component, so that
+Links are found in two rounds, so that a large group costs no square: first each class meets only its keys' leaders, the
+classes that share most keys with others; then classes that are still in different components meet under their common keys, component by component, so that
 none is compared within its own. The index holds keys and ids alone: signatures and texts are joined to the pairs, and only
 texts of classes that share a key are moved. Components come from alternating star contractions on tables in the shared folder;
 no links or labels go to the driver.
@@ -118,13 +118,16 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     real = told.where("print is not null and doc_id is not null")
     reps = materialise(real.groupBy("print").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")), "classes")
     index = reps.select("rep", F.explode(_keys(F.col("sig"))).alias("key"))
-    lead = index.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").drop("last")
-    index = materialise(index.join(lead, "key"), "index")
+    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    index = materialise(index.join(shared, "key"), "shared")
+    hubs = index.groupBy("rep").agg(F.sum("n").alias("degree"))
+    ranked = index.join(hubs, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("low")).alias("hub"))
+    lead = ranked.groupBy("key").agg((-F.max("hub")["low"]).alias("b"))
+    index = materialise(index.select("key", "rep").join(lead, "key"), "index")
     met = index.select("rep").distinct()
     texts = materialise(docs.join(met, docs["doc_id"] == met["rep"]).select("doc_id", "text"), "texts")
     near = _near(index.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), reps)
-    first = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", "x.b")
-    links = materialise(_linked(first, texts, percent), "links")
+    links = materialise(_linked(near.select("a", "b"), texts, percent), "links")
     some = materialise(components(links), "some")
     part = index.join(some, index["rep"] == some["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     heads = part.groupBy("key", "root").agg(F.lit(1).alias("one")).select("key", "root")
