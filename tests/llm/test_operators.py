@@ -150,3 +150,33 @@ def test_quality(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
     got = quality_model.score(docs, quality_model.train(docs, labels)).toPandas()
     assert len(got) == docs.count() and got.score.between(0, 1).all()
+
+
+def test_near_dups_against_brute_force(spark, monkeypatch):
+    """Groups whose copies are near one base but mostly not near each other, with a passage that all share; hot keys in several blocks."""
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    monkeypatch.setattr(near_dups, "FEW", 2)
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(3):
+        base = [f"w{g}x{k}" for k in range(150)]
+        for _ in range(40):
+            x = list(base)
+            for k in rng.choice(150, rng.integers(0, 6), replace=False):
+                x[k] = f"n{rng.integers(1 << 40)}"
+            texts.append(" ".join(x + ["the", "passage", "that", "all", "of", "them", "share"]))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, texts[3])]
+    sets = [(i, set(zip(*[t.split()[k:] for k in range(5)]))) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a, s in sets:
+        for b, t in sets:
+            if a < b and 100 * len(s & t) >= 85 * len(s | t):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    got = near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({find(i) for i in root}) > 5
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, find(i)) for i in root}

@@ -6,14 +6,20 @@ once in 50,000 pairs. By pigeonhole, signatures that differ in at most 19 compon
 ten chunks; each chunk is therefore indexed with each of its components left out, and the join on those keys finds every such
 pair. Links are confirmed on full shingle sets.
 
+Keys of at most FEW classes give their pairs as they are. The classes of larger keys are peeled first: with x and y linked, at
+least `percent` % of x's shingles are in y, so a class with more shingles that no other class of such keys has links with none of
+them and leaves those keys; the next pass counts among those left. The counts that remain bound each pair's intersection, and so
+which pairs can link at all. This is exact: no link is lost.
+
 Links are found in two rounds, so that a large group costs no square: first each class meets only its keys' leaders, the
-classes that share most keys with others; then classes that are still in different components meet under their common keys, component by component, so that
-none is compared within its own. The index holds keys and ids alone: signatures and texts are joined to the pairs, and only
-texts of classes that share a key are moved. Components come from alternating star contractions on tables in the shared folder;
+classes that share most keys with others and those with the fewest shingles of their own; then classes that are still in
+different components meet under their common keys, in blocks of bounded size, each pair under its first common key alone, and
+only pairs that can link and whose signatures are near leave a block. Signatures and texts are joined to pairs, and only texts
+of classes that share a key are moved. Components come from alternating star contractions on tables in the shared folder;
 no links or labels go to the driver.
 
 Null and empty texts have no shingle, link with nothing and are kept. Rows with a null doc_id link with nothing and are kept.
-Repeated rows fall in one class. Extra columns are not read.
+Repeated rows fall in one class; rows that repeat a doc_id with another text are linked by their text. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +32,10 @@ from pyspark.sql import functions as F
 
 from .shared import map_texts, materialise, mixed, shingles, table
 
-K, CHUNKS, MOST = 48, 10, 19
+K, CHUNKS, MOST, FEW, BLOCK, PEELS = 48, 10, 19, 4, 1024, 2
+#: The shares of an id that comes with several texts: with size 0, it can link with all.
+ANY = 1 << 40
+BOUNDS = [K * c // CHUNKS for c in range(CHUNKS + 1)]
 SEEDS = mixed(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -58,10 +67,9 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def _keys(sig: Column) -> Column:
-    """Hashes of each chunk with each of its components left out; a clash of hashes is only one more candidate."""
+    """Hashes of each chunk with each of its components left out, in the order of components; a clash is only one more candidate."""
     part = lambda i: F.shiftrightunsigned(sig[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(65535))
-    bounds = [K * c // CHUNKS for c in range(CHUNKS + 1)]
-    return F.array(*[F.xxhash64(F.lit(out), *[part(i) for i in range(lo, hi) if i != out]) for lo, hi in zip(bounds, bounds[1:]) for out in range(lo, hi)])
+    return F.array(*[F.xxhash64(F.lit(out), *[part(i) for i in range(lo, hi) if i != out]) for lo, hi in zip(BOUNDS, BOUNDS[1:]) for out in range(lo, hi)])
 
 
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -111,34 +119,137 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _can_link(percent: int, m: Column, n: Column, s: Column, t: Column) -> Column:
+    """Whether sets of m and n shingles that share s and t of them with others can reach the threshold with each other."""
+    most = F.least(s, t)
+    return 100 * most >= percent * (m + n - most)
+
+
+def peeled(texts: DataFrame, percent: int) -> DataFrame:
+    """rep, size, shares (now: how many of its shingles others have too) of those of texts (rep, size, shares, text) that can link."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for x in batches:
+            for rep, t in zip(x["rep"].to_pylist(), x["text"]):
+                s = shingles(t.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep, np.int64)), pa.array(s.view(np.int64))], ["rep", "s"])
+
+    left = texts
+    for _ in range(PEELS):
+        each = left.select("rep", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rep long, s long")
+        own = each.groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+        told = left.select("rep", "size", "shares").distinct().join(own, "rep", "left").select("rep", "size", F.when(F.col("shares") == ANY, F.col("shares")).otherwise(F.col("shares") - F.coalesce("own", F.lit(0))).alias("shares"))
+        told = materialise(told.where(100 * F.col("shares") >= percent * F.col("size")), "peeled")
+        left = texts.join(told.select("rep"), "rep", "left_semi")
+    return told
+
+
+def _block_pairs(x: dict[str, np.ndarray], i: int, j: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of blocks i and j of a key that differ in root, can link, are near, and have the key as their first common one."""
+    p, q = np.flatnonzero(x["own"] == i), np.flatnonzero(x["own"] == j)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for at in range(0, len(p), 64):
+        u = p[at : at + 64, None]
+        most = np.minimum(x["shares"][u], x["shares"][q])
+        can = (x["root"][u] != x["root"][q]) & (100 * most >= percent * (x["size"][u] + x["size"][q] - most))
+        if i == j:
+            can &= x["rep"][u] < x["rep"][q]
+        r, c = np.nonzero(can)
+        r, c = p[at : at + 64][r], q[c]
+        for k in range(0, len(r), 16384):
+            v, w = r[k : k + 16384], c[k : k + 16384]
+            far = x["sig"][v] != x["sig"][w]
+            near = far.sum(1) <= MOST
+            v, w, far = v[near], w[near], far[near]
+            bad = np.add.reduceat(far, BOUNDS[:-1], axis=1, dtype=np.int64)
+            first = np.asarray(BOUNDS)[np.argmax(bad <= 1, axis=1)]
+            chunk = np.searchsorted(BOUNDS, first, side="right")
+            inside = far & (np.arange(K) >= first[:, None]) & (np.arange(K) < np.asarray(BOUNDS)[chunk][:, None])
+            pos = np.where(inside.any(1), inside.argmax(1), first)
+            mine = (x["pos"][v] == pos) & (x["pos"][w] == pos)
+            found.append((x["rep"][v[mine]], x["rep"][w[mine]]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _meetings(part: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of part (key, pos, rep, root, size, shares, sig); a key beyond BLOCK classes is dealt out as pairs of blocks."""
+    blocks = part.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    dealt = part.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pos", "rep", "root", "size", "shares", "sig")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["key", "i", "j", "own", "pos", "rep", "root", "size", "shares"]
+
+        def columns(x) -> dict[str, np.ndarray]:
+            out = {n: x[n].to_numpy() for n in names}
+            flat = x["sig"].flatten().to_numpy()
+            return out | {"sig": np.ascontiguousarray(flat, "<i8").view("<u2").reshape(-1, K)}
+
+        def pairs(x: dict):
+            a, b = _block_pairs(x, int(x["i"][0]), int(x["j"][0]), percent)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held: list[dict] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = columns(batch)
+            new = np.zeros(len(x["key"]), bool)
+            for n in ("key", "i", "j"):
+                new[1:] |= x[n][1:] != x[n][:-1]
+            new[0] = not held or any(held[-1][n][-1] != x[n][0] for n in ("key", "i", "j"))
+            cuts = [0, *np.flatnonzero(new).tolist(), len(new)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if new[lo] and held and lo < hi:
+                    yield pairs({n: np.concatenate([h[n] for h in held]) for n in x})
+                    held = []
+                if lo < hi:
+                    held.append({n: c[lo:hi] for n, c in x.items()})
+        if held:
+            yield pairs({n: np.concatenate([h[n] for h in held]) for n in held[0]})
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = materialise(map_texts(docs, _described, "n_shingles long, print string, sig array<long>", ["doc_id"]), "signatures")
     real = told.where("print is not null and doc_id is not null")
-    reps = materialise(real.groupBy("print").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")), "classes")
-    index = reps.select("rep", F.explode(_keys(F.col("sig"))).alias("key"))
+    reps = materialise(real.groupBy("print").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("rep")), "classes")
+    index = reps.select("rep", F.posexplode(_keys(F.col("sig"))).alias("pos", "key"))
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     index = materialise(index.join(shared, "key"), "shared")
+    large = index.where(F.col("n") > FEW)
+    texts = materialise(docs.join(index.select("rep").distinct(), docs["doc_id"] == F.col("rep")).select("doc_id", "text"), "texts")
+    one = F.count(F.lit(1)) == 1
+    sizes = reps.groupBy("rep").agg(F.when(one, F.min("size")).otherwise(0).alias("size"), F.when(one, F.min("size")).otherwise(ANY).alias("shares"))
+    light = peeled(texts.withColumnRenamed("doc_id", "rep").join(sizes, "rep").join(large.select("rep").distinct(), "rep", "left_semi"), percent)
     hubs = index.groupBy("rep").agg(F.sum("n").alias("degree"))
-    ranked = index.join(hubs, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("low")).alias("hub"))
-    lead = ranked.groupBy("key").agg((-F.max("hub")["low"]).alias("b"))
-    index = materialise(index.select("key", "rep").join(lead, "key"), "index")
-    met = index.select("rep").distinct()
-    texts = materialise(docs.join(met, docs["doc_id"] == met["rep"]).select("doc_id", "text"), "texts")
-    near = _near(index.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), reps)
-    links = materialise(_linked(near.select("a", "b"), texts, percent), "links")
+    large = large.join(light, "rep").join(hubs, "rep")
+    small = index.where(F.col("n") <= FEW).join(sizes, "rep").join(hubs, "rep")
+    columns = ["key", "pos", "rep", "size", "shares", "degree"]
+    index = large.select(*columns, F.lit(True).alias("large")).unionByName(small.select(*columns, F.lit(False).alias("large")))
+    index = materialise(index, "index")
+    most = F.max(F.struct("degree", (-F.col("rep")).alias("low"), "rep", "size", "shares"))
+    least = F.max(F.struct((F.col("shares") - F.col("size")).alias("own"), (-F.col("rep")).alias("low"), "rep", "size", "shares"))
+    pick = lambda x: F.struct(x["rep"].alias("b"), x["size"].alias("bn"), x["shares"].alias("bs"))
+    lead = index.groupBy("key").agg(F.array_distinct(F.array(pick(most), pick(least))).alias("leads"))
+    met = index.join(lead, "key").select(F.col("rep").alias("a"), "size", "shares", F.explode("leads").alias("lead")).select("a", "size", "shares", "lead.*")
+    met = met.where((F.col("a") != F.col("b")) & _can_link(percent, F.col("size"), F.col("bn"), F.col("shares"), F.col("bs"))).select("a", "b").distinct()
+    links = materialise(_linked(_near(met, reps).select("a", "b"), texts, percent), "links")
     some = materialise(components(links), "some")
-    part = index.join(some, index["rep"] == some["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    heads = part.groupBy("key", "root").agg(F.lit(1).alias("one")).select("key", "root")
-    many = heads.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    part = materialise(part.join(many, "key", "left_semi"), "parts")
-    heads = part.select("key", "root").distinct()
-    both = heads.select("key", F.col("root").alias("ra")).join(heads.select("key", F.col("root").alias("rb")), "key").where("ra < rb")
-    x, y = part.select("key", F.col("root").alias("ra"), F.col("rep").alias("a")), part.select("key", F.col("root").alias("rb"), F.col("rep").alias("b"))
-    rest = both.join(x, ["key", "ra"]).join(y, ["key", "rb"]).select("a", "b").distinct()
-    rest = _near(rest, reps).select("a", "b")
-    links = links.unionByName(_linked(materialise(rest, "rest"), texts, percent))
+    part = index.join(some, index["rep"] == some["node"], "left").select(*columns, "large", F.coalesce("root", "rep").alias("root"))
+    many = part.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    part = materialise(part.join(many, "key", "left_semi").join(reps.select("rep", "sig"), "rep"), "parts")
+    rest = materialise(_meetings(part, percent).distinct(), "rest")
+    links = links.unionByName(_linked(rest, texts, percent))
     roots = materialise(components(links), "roots")
     ids = reps.join(roots, reps["rep"] == roots["node"], "left").select("print", F.coalesce("root", "rep").alias("root"))
     out = told.join(ids, "print", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
