@@ -101,6 +101,36 @@ def test_license_join_is_exact():
         assert set(scanner.block(block)) == want
 
 
+def test_wrapped_licenses(spark):
+    """Templates wrapped at every width, with and without a mark on each line, and windows of random words, against brute force."""
+    scanner = licenses.Scanner({})
+    for name, t in licenses.TEMPLATES.items():
+        words = t.split()
+        for width in range(1, len(words) + 1):
+            for mark in ("", "* ", "rem "):
+                if mark != "rem " or width >= 4:
+                    wrapped = "\n".join(mark + " ".join(words[k : k + width]) for k in range(0, len(words), width))
+                    assert name in scanner.text(f"before\n\n{wrapped}\nafter".encode())[5].split(","), (name, width, mark)
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    got = licenses.scan(spark.createDataFrame([(0, bsd), (1, mit), (2, "released\n" + "x " * 30 + "under the mit license")], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in got} == {0: ("bsd", 1.0), 1: ("mit-grant", 1.0), 2: ("", 0.0)}
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        t = list(licenses.TEMPLATES.values())[rng.integers(len(licenses.TEMPLATES))].split()
+        words = [w for x in t for w in [x] + ["z"] * rng.integers(0, 4) if rng.random() > 0.03]
+        text = "".join(w + " \n"[rng.integers(2)] for w in words)
+        lines, want = [x.split() for x in text.split("\n")], {}
+        for name, template in licenses.TEMPLATES.items():
+            s, n = set(template.split()), 2 * len(template.split())
+            shares = [len(s & set(x)) / len(s) for x in lines + [words[i : i + n] for i in range(len(words))]]
+            if max(shares) >= 0.9:
+                want[name] = max(shares)
+        got = scanner.text(text.encode())
+        assert set(got[5].split(",")) - {""} == want.keys() | set(got[4].split(",")) - {""}, text
+        assert got[6] == (1.0 if got[1] else max(want.values(), default=0.0)), text
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/7x?q"), (2, "https://example.com/en/6"), (3, None), (4, "no scheme"), (5, "http://foo.org/a.com/en/x"), (6, "ftp://spam-farm.org/x#y"), (7, "http://xcom/en/")]
     got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}

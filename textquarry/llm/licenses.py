@@ -1,7 +1,9 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, as sets of words; a block meets a template if it holds at least THRESHOLD of the template's
-distinct words. Words are ordered by how many documents hold them, rarest first (counted over all documents). Prefix filter: a
+Blocks are the lines of a text and, as licenses are wrapped, all windows of consecutive words over the whole text, across line
+breaks, of up to SPAN times a template's words (so a comment mark or a changed word on each line still fits), as sets of words; a
+block meets a template if it holds at least THRESHOLD of the template's distinct words. The text as one block holds all others,
+so only templates that it meets are sought in lines and windows. Words are ordered by how many documents hold them, rarest first (counted over all documents). Prefix filter: a
 block that lacks all of a template's first |T| - need + 1 words cannot meet it. Length filter: a block has at least `need`
 words. Positional filter: if the first shared word is at place i of the template, at most |T| - i words can be shared.
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from .shared import map_texts, table
 
 THRESHOLD = 0.9
+SPAN = 2
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
@@ -48,6 +51,7 @@ class Scanner:
     def __init__(self, often: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> None:
         self.first: dict[bytes, list[tuple[int, str]]] = {}
         self.sets: dict[str, tuple[list[bytes], int]] = {}
+        self.spans = {name: SPAN * len(text.split()) for name, text in templates.items()}
         for name, text in templates.items():
             t = sorted({w.encode() for w in text.split()}, key=lambda w: (often.get(w, 0), w))
             need = -(-round(threshold * 1000) * len(t) // 1000)
@@ -67,6 +71,23 @@ class Scanner:
                 out[name] = n / len(t)
         return out
 
+    def windows(self, words: list[bytes], name: str) -> float:
+        """The largest share of the template that a window of `words` holds; 0 if none meets it."""
+        t, need = self.sets[name]
+        each, span = set(t), self.spans[name]
+        at = [(i, w) for i, w in enumerate(words) if w in each]
+        inside, most, lo = dict.fromkeys(t, 0), 0, 0
+        held = 0  # words of the template in the window that ends at i
+        for i, w in at:
+            held += not inside[w]
+            inside[w] += 1
+            while i - at[lo][0] >= span:
+                inside[at[lo][1]] -= 1
+                held -= not inside[at[lo][1]]
+                lo += 1
+            most = max(most, held)
+        return most / len(t) if most >= need else 0.0
+
     def text(self, text: bytes) -> tuple:
         words = text.translate(TO_WORDS).split()
         line = b" " + b" ".join(words) + b" "
@@ -77,7 +98,10 @@ class Scanner:
                 places.append(line.count(b" ", 0, at))
                 labels.add(label)
         found: dict[str, float] = {}
-        if not self.prefix.isdisjoint(words):
+        if not self.prefix.isdisjoint(words) and (can := self.block(set(words))):
+            for k in can:
+                if (v := self.windows(words, k)) > 0:
+                    found[k] = v
             for x in text.translate(LINES).split(b"\n"):
                 for k, v in self.block(set(x.split())).items():
                     found[k] = max(v, found.get(k, 0.0))
