@@ -1,5 +1,6 @@
 """Small cases with known results: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -83,6 +84,29 @@ def test_mixing(docs):
     assert words == rows.taken.sum() and mixed.columns == docs.columns
 
 
+def test_mixing_positions(spark, tmp_path):
+    """Every copy of op6 has the time at which the integral of its source's schedule, by small steps, reaches its share of the words."""
+    rng = np.random.default_rng(12)
+    source = lambda i: None if i % 9 == 0 else f"s{i % 5}"
+    texts = [(i, "w " * int(rng.integers(1, 40)), source(i)) for i in range(300)] + [(300, "", "s1"), (301, None, None)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = mixing.op6_mixing(spark, str(tmp_path)).collect()
+    assert len(rows) == 302 and [r.positions[0] for r in rows if r.positions] == sorted(r.positions[0] for r in rows if r.positions)
+    assert all(r.positions for r in rows[: sum(1 for r in rows if r.positions)])
+    of, grid = {i: s for i, _, s in texts}, np.linspace(0, 1, 200001)
+    key = {i: hashlib.md5(f"{i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest() for i, t, _ in texts}
+    for number, name in enumerate(["s0", "s1", "s2", "s3", "s4", None]):
+        knots = mixing.SCHEDULES[number % 3]
+        weight = np.interp(grid, [t for t, _ in knots], [w for _, w in knots])
+        area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        start = 0
+        for r in sorted((r for r in rows if of[r.doc_id] == name), key=lambda r: key[r.doc_id]):
+            copies = -(-r.taken // r["size"]) if r["size"] else 1
+            shares = [min(1.0, (start + c * r.source_size) / r.target) for c in range(copies)]
+            assert np.allclose(r.positions, np.interp(shares, area / area[-1], grid), atol=1e-4), r
+            start += r["size"]
+
+
 def test_licenses(docs):
     by = {r.doc_id: r for r in licenses.scan(docs).collect()}
     r = by[8]

@@ -63,7 +63,8 @@ def time_of(u: Column, number: Column) -> Column:
 
 
 def plan(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, source, key, size, source_size, target, taken, copies, last (words of the last copy), position."""
+    """Per row of docs: doc_id, source, key, size, source_size, target, taken, rounds, more (words of the last copy, if cut), start,
+    and positions: the training time of each copy, rising; none if nothing is taken. A row without words counts as one copy."""
     rows = materialise(sized(docs), "sizes")
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,35 +79,42 @@ def plan(docs: DataFrame) -> DataFrame:
     d = d.withColumn("rounds", rounds).withColumn("rest", goal - F.col("rounds") * F.col("source_size"))
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
     d = d.withColumn("more", more.cast("long"))
-    share = F.when(F.col("target") > 0, F.col("start") / F.col("target")).otherwise(F.lit(0.0))
-    return d.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("more")).alias("taken"), F.col("rounds").alias("rounds"), "more", "start", "number", time_of(F.least(share, F.lit(1.0)), F.col("number")).alias("position"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("rounds") + F.when(F.col("more") > 0, 1).otherwise(0)).cast("int")
+    share = lambda c: F.when(F.col("target") > 0, (F.col("start") + c * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
+    times = F.transform(F.sequence(F.lit(0), F.greatest(copies - 1, F.lit(0))), lambda c: time_of(F.least(share(c), F.lit(1.0)), F.col("number")))
+    positions = F.when(copies > 0, times).otherwise(F.array().cast("array<double>"))
+    return d.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("more")).alias("taken"), "rounds", "more", "start", positions.alias("positions"))
+
+
+def ranged(df: DataFrame, at: Column, key: str) -> DataFrame:
+    """df range-sorted by the time `at`, rows without one last."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, at.asc_nulls_last(), key).sortWithinPartitions(at.asc_nulls_last(), key)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs repeated as the mix takes them, range-sorted by training position; the copy that meets a target ends there.
     Documents without words are kept once, as they cost no token."""
-    p = plan(docs).select(F.col("key").alias("_k"), F.col("size").alias("_size"), "rounds", "more", "start", "source_size", "target", "number")
+    p = plan(docs).select(F.col("key").alias("_k"), F.col("size").alias("_size"), "rounds", "more", "start", "positions")
     p = p.dropDuplicates(["_k", "start"])
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     d = docs.withColumn("_key", key)
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("source")))
     p = p.withColumn("_m", F.row_number().over(Window.partitionBy("_k").orderBy("start")))
     j = d.join(p, (F.col("_key") == F.col("_k")) & (F.col("_n") == F.col("_m")))
-    copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.col("rounds") + F.when(F.col("more") > 0, 1).otherwise(0)).cast("int")
-    j = j.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    j = j.select("*", F.posexplode("positions").alias("_copy", "_at"))
     part = (F.col("_copy") == F.col("rounds")) & (F.col("more") < F.col("_size")) & (F.col("_size") > 0)
     each = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word and the space before it
     cut = F.array_join(F.slice(each, 1, F.greatest(F.col("more"), F.lit(0)).cast("int")), "")
-    share = F.when(F.col("target") > 0, (F.col("start") + F.col("_copy") * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
-    j = j.withColumn("text", F.when(part, cut).otherwise(F.col("text"))).withColumn("_at", time_of(F.least(share, F.lit(1.0)), F.col("number")))
+    j = j.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.length("text").cast("long"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return j.repartitionByRange(n, "_at", "_key").sortWithinPartitions("_at", "_key").select(*docs.columns)
+    return ranged(j, F.col("_at"), "_key").select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """A row for each document, range-sorted by the position of its first copy (those not taken last); positions has all its copies."""
+    return ranged(plan(table(spark, sf_dir, "documents")), F.get("positions", F.lit(0)), "key").select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 SQL = rf"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
