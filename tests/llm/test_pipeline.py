@@ -1,4 +1,48 @@
+import numpy as np
+
 import corpus_pipeline
+from textquarry.llm import near_dups
+
+
+def brute(texts: dict[int, str], percent: int) -> dict[int, int]:
+    """The smallest id of each text's component."""
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a, s in sets.items():
+        for b, t in sets.items():
+            if a < b and 100 * len(s & t) >= percent * len(s | t):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: find(i) for i in texts}
+
+
+def test_dedup_links_from_80(spark):
+    """Pairs on both sides of 0.80 and 0.85: the stage keeps what brute force at 80 % keeps, op9's default what it keeps at 85 %."""
+    rng, texts = np.random.default_rng(13), {}
+    for g in range(60):
+        base = [f"w{g}x{k}" for k in range(150)]
+        copy = list(base)
+        for k in range(g % 10):
+            copy[5 + 14 * k] = f"n{rng.integers(1 << 40)}"
+        texts |= {2 * g: " ".join(base), 2 * g + 1: " ".join(copy)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    by = {p: {i for i, r in brute(texts, p).items() if i == r} for p in (80, 85)}
+    assert by[80] != by[85]
+    assert {r.doc_id for r in corpus_pipeline.dedup(spark, docs, "").collect()} == by[80]
+    assert {r.doc_id for r in near_dups.classes(docs).where("kept").collect()} == by[85]
+
+
+def test_chunks_keep_the_bound():
+    assert near_dups.chunked(85)[0] == 19 and near_dups.chunked(80)[0] == 23
+    rng = np.random.default_rng(14)
+    for percent in (60, 70, 80, 85, 95):
+        most, bounds = near_dups.chunked(percent)
+        assert bounds[0] == 0 and bounds[-1] == near_dups.K and most == 2 * len(bounds) - 3
+        assert ((rng.random((100_000, near_dups.K)) > percent / 100).sum(1) > most).mean() <= 1e-4
 
 
 def test_stages(spark):

@@ -1,10 +1,11 @@
 """Near duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
 Texts with the same shingle set form a class, which its smallest doc_id represents. A signature has 48 components of 16 bits. Two
-sets of Jaccard similarity J differ in each component with probability under 1 - J, so at 0.85 more than 19 of 48 differ about
-once in 50,000 pairs. By pigeonhole, signatures that differ in at most 19 components differ in at most one component of one of
-ten chunks; each chunk is therefore indexed with each of its components left out, and the join on those keys finds every such
-pair. Links are confirmed on full shingle sets.
+sets of Jaccard similarity J differ in each component with probability under 1 - J, so at 0.85 more than 19 of 48 differ at most
+once in 50,000 pairs, and at 0.80 more than 23. By pigeonhole, signatures that differ in at most 2c - 1 components differ in at
+most one component of one of c chunks; each chunk is therefore indexed with each of its components left out, and the join on those
+keys finds every such pair. c is the least that keeps to the once in 50,000 (10 at 0.85, 12 at 0.80). Links are confirmed on full
+shingle sets.
 
 Keys of at most FEW classes give their pairs as they are. The classes of larger keys are peeled first: with x and y linked, at
 least `percent` % of x's shingles are in y, so a class with more shingles that no other class of such keys has links with none of
@@ -25,6 +26,7 @@ Repeated rows fall in one class; rows that repeat a doc_id with another text are
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +34,21 @@ from pyspark.sql import functions as F
 
 from .shared import map_texts, materialise, mixed, shingles, table
 
-K, CHUNKS, MOST, FEW, BLOCK, PEELS = 48, 10, 19, 4, 1024, 2
+K, FEW, BLOCK, PEELS = 48, 4, 1024, 2
+#: A link at the threshold itself is lost at most once in so many pairs.
+LOST = 50_000
 #: The shares of an id that comes with several texts: with size 0, it can link with all.
 ANY = 1 << 40
-BOUNDS = [K * c // CHUNKS for c in range(CHUNKS + 1)]
 SEEDS = mixed(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def chunked(percent: int) -> tuple[int, list[int]]:
+    """How many components may differ, and the bounds of the chunks, so that links at `percent` % are lost once in LOST pairs at most."""
+    p = 1 - percent / 100
+    chunks = next(c for c in range(1, K + 1) if LOST * sum(math.comb(K, i) * p**i * (1 - p) ** (K - i) for i in range(2 * c, K + 1)) <= 1)
+    return 2 * chunks - 1, [K * c // chunks for c in range(chunks + 1)]
+
+
 def signature(s: np.ndarray) -> bytes:
     """The low 16 bits of the mixed minimum of each of K orders of the set: its mixed hashes times odd numbers."""
     least = np.full(K, np.iinfo(np.uint64).max, np.uint64)
@@ -66,16 +76,16 @@ def distance(a: Column, b: Column) -> Column:
     return total
 
 
-def _keys(sig: Column) -> Column:
+def _keys(sig: Column, bounds: list[int]) -> Column:
     """Hashes of each chunk with each of its components left out, in the order of components; a clash is only one more candidate."""
     part = lambda i: F.shiftrightunsigned(sig[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(65535))
-    return F.array(*[F.xxhash64(F.lit(out), *[part(i) for i in range(lo, hi) if i != out]) for lo, hi in zip(BOUNDS, BOUNDS[1:]) for out in range(lo, hi)])
+    return F.array(*[F.xxhash64(F.lit(out), *[part(i) for i in range(lo, hi) if i != out]) for lo, hi in zip(bounds, bounds[1:]) for out in range(lo, hi)])
 
 
-def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """pairs (a, b) with `far`, the distance of their signatures, where it is at most MOST."""
+def _near(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
+    """pairs (a, b) with `far`, the distance of their signatures, where it is at most `most`."""
     x, y = reps.select(F.col("rep").alias("a"), F.col("sig").alias("s")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("t"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", distance(F.col("s"), F.col("t")).alias("far")).where(F.col("far") <= MOST)
+    return pairs.join(x, "a").join(y, "b").select("a", "b", distance(F.col("s"), F.col("t")).alias("far")).where(F.col("far") <= most)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,7 +156,7 @@ def peeled(texts: DataFrame, percent: int) -> DataFrame:
     return told
 
 
-def _block_pairs(x: dict[str, np.ndarray], i: int, j: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _block_pairs(x: dict[str, np.ndarray], i: int, j: int, percent: int, limit: int, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of blocks i and j of a key that differ in root, can link, are near, and have the key as their first common one."""
     p, q = np.flatnonzero(x["own"] == i), np.flatnonzero(x["own"] == j)
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
@@ -161,12 +171,12 @@ def _block_pairs(x: dict[str, np.ndarray], i: int, j: int, percent: int) -> tupl
         for k in range(0, len(r), 16384):
             v, w = r[k : k + 16384], c[k : k + 16384]
             far = x["sig"][v] != x["sig"][w]
-            near = far.sum(1) <= MOST
+            near = far.sum(1) <= limit
             v, w, far = v[near], w[near], far[near]
-            bad = np.add.reduceat(far, BOUNDS[:-1], axis=1, dtype=np.int64)
-            first = np.asarray(BOUNDS)[np.argmax(bad <= 1, axis=1)]
-            chunk = np.searchsorted(BOUNDS, first, side="right")
-            inside = far & (np.arange(K) >= first[:, None]) & (np.arange(K) < np.asarray(BOUNDS)[chunk][:, None])
+            bad = np.add.reduceat(far, bounds[:-1], axis=1, dtype=np.int64)
+            first = np.asarray(bounds)[np.argmax(bad <= 1, axis=1)]
+            chunk = np.searchsorted(bounds, first, side="right")
+            inside = far & (np.arange(K) >= first[:, None]) & (np.arange(K) < np.asarray(bounds)[chunk][:, None])
             pos = np.where(inside.any(1), inside.argmax(1), first)
             mine = (x["pos"][v] == pos) & (x["pos"][w] == pos)
             found.append((x["rep"][v[mine]], x["rep"][w[mine]]))
@@ -175,6 +185,7 @@ def _block_pairs(x: dict[str, np.ndarray], i: int, j: int, percent: int) -> tupl
 
 def _meetings(part: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of part (key, pos, rep, root, size, shares, sig); a key beyond BLOCK classes is dealt out as pairs of blocks."""
+    limit, bounds = chunked(percent)
     blocks = part.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     dealt = part.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -192,7 +203,7 @@ def _meetings(part: DataFrame, percent: int) -> DataFrame:
             return out | {"sig": np.ascontiguousarray(flat, "<i8").view("<u2").reshape(-1, K)}
 
         def pairs(x: dict):
-            a, b = _block_pairs(x, int(x["i"][0]), int(x["j"][0]), percent)
+            a, b = _block_pairs(x, int(x["i"][0]), int(x["j"][0]), percent, limit, bounds)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         held: list[dict] = []
@@ -219,11 +230,12 @@ def _meetings(part: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
+    limit, bounds = chunked(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = materialise(map_texts(docs, _described, "n_shingles long, print string, sig array<long>", ["doc_id"]), "signatures")
     real = told.where("print is not null and doc_id is not null")
     reps = materialise(real.groupBy("print").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("rep")), "classes")
-    index = reps.select("rep", F.posexplode(_keys(F.col("sig"))).alias("pos", "key"))
+    index = reps.select("rep", F.posexplode(_keys(F.col("sig"), bounds)).alias("pos", "key"))
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     index = materialise(index.join(shared, "key"), "shared")
     large = index.where(F.col("n") > FEW)
@@ -243,7 +255,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     lead = index.groupBy("key").agg(F.array_distinct(F.array(pick(most), pick(least))).alias("leads"))
     met = index.join(lead, "key").select(F.col("rep").alias("a"), "size", "shares", F.explode("leads").alias("lead")).select("a", "size", "shares", "lead.*")
     met = met.where((F.col("a") != F.col("b")) & _can_link(percent, F.col("size"), F.col("bn"), F.col("shares"), F.col("bs"))).select("a", "b").distinct()
-    links = materialise(_linked(_near(met, reps).select("a", "b"), texts, percent), "links")
+    links = materialise(_linked(_near(met, reps, limit).select("a", "b"), texts, percent), "links")
     some = materialise(components(links), "some")
     part = index.join(some, index["rep"] == some["node"], "left").select(*columns, "large", F.coalesce("root", "rep").alias("root"))
     many = part.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
