@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from textquarry.llm import near_dups
+from textquarry.llm import mixing, near_dups
 
 
 def brute(texts: dict[int, str], percent: int) -> dict[int, int]:
@@ -36,6 +36,21 @@ def test_dedup_links_from_80(spark):
     assert {r.doc_id for r in near_dups.classes(docs).where("kept").collect()} == by[85]
 
 
+def test_repeated_ids_lose_no_text(spark):
+    """A doc_id with several texts: dedup drops just the copy, and the mix takes each row, of either source, with or without words."""
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(40))
+    rows = [(1, text(1), "a"), (5, text(1), "a"), (5, text(2), "a"), (5, text(3), "a"), (5, text(3), "a"), (7, text(3), "a"), (8, "", "a"), (8, None, "a")]
+    schema = "doc_id long, text string, source string"
+    got = corpus_pipeline.dedup(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, text(1)), (5, text(2)), (5, text(3)), (8, ""), (8, "")]
+    rows = [(1, text(1), "a"), (1, text(1), "b"), (1, text(1), None), (2, "", "a"), (2, "", "a"), (2, None, "a"), (2, "", "b")]
+    docs = spark.createDataFrame(rows, schema)
+    mixed, planned = corpus_pipeline.mixture(spark, docs, "").collect(), mixing.plan(docs).collect()
+    assert sorted((r.doc_id, r.source or "") for r in mixed) == sorted((r.doc_id, r.source or "") for r in planned for _ in r.positions)
+    assert sum(r.doc_id == 2 for r in mixed) == 4 and {r.source for r in mixed if r.doc_id == 1} == {"a", "b", None}
+    assert sum(len((r.text or "").split()) for r in mixed) == sum(r.taken for r in planned)
+
+
 def test_chunks_keep_the_bound():
     assert near_dups.chunked(85)[0] == 19 and near_dups.chunked(80)[0] == 23
     rng = np.random.default_rng(14)

@@ -64,15 +64,16 @@ def time_of(u: Column, number: Column) -> Column:
 
 def plan(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, source, key, size, source_size, target, taken, rounds, more (words of the last copy, if cut), start,
-    and positions: the training time of each copy, rising; none if nothing is taken. A row without words counts as one copy."""
+    nth (its number among the rows of this source and key), and positions: the training time of each copy, rising; none if nothing is taken. A row without words counts as one copy."""
     rows = materialise(sized(docs), "sizes")
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
     want = targets(cells.select("source", "words"))
     known = cells.alias("c").join(want.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select(F.col("c.source").alias("_source"), F.col("c.cell").alias("_cell"), "ahead", "source_size", "number", "target")
-    within = Window.partitionBy("source", "cell").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    order = Window.partitionBy("source", "cell").orderBy("key", "size")
+    within = order.rowsBetween(Window.unboundedPreceding, -1)
+    d = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("nth", F.row_number().over(order) - F.rank().over(order))
     d = d.join(known, d["source"].eqNullSafe(known["_source"]) & (d["cell"] == known["_cell"])).withColumn("start", F.col("ahead") + F.col("inside"))
     goal = F.floor("target")
     rounds = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
@@ -83,7 +84,7 @@ def plan(docs: DataFrame) -> DataFrame:
     share = lambda c: F.when(F.col("target") > 0, (F.col("start") + c * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
     times = F.transform(F.sequence(F.lit(0), F.greatest(copies - 1, F.lit(0))), lambda c: time_of(F.least(share(c), F.lit(1.0)), F.col("number")))
     positions = F.when(copies > 0, times).otherwise(F.array().cast("array<double>"))
-    return d.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("more")).alias("taken"), "rounds", "more", "start", positions.alias("positions"))
+    return d.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("more")).alias("taken"), "rounds", "more", "start", "nth", positions.alias("positions"))
 
 
 def ranged(df: DataFrame, at: Column, key: str) -> DataFrame:
@@ -95,13 +96,11 @@ def ranged(df: DataFrame, at: Column, key: str) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """docs repeated as the mix takes them, range-sorted by training position; the copy that meets a target ends there.
     Documents without words are kept once, as they cost no token."""
-    p = plan(docs).select(F.col("key").alias("_k"), F.col("size").alias("_size"), "rounds", "more", "start", "positions")
-    p = p.dropDuplicates(["_k", "start"])
+    p = plan(docs).select(F.col("source").alias("_source"), F.col("key").alias("_k"), F.col("size").alias("_size"), "rounds", "more", F.col("nth").alias("_nth"), "positions")
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     d = docs.withColumn("_key", key)
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("source")))
-    p = p.withColumn("_m", F.row_number().over(Window.partitionBy("_k").orderBy("start")))
-    j = d.join(p, (F.col("_key") == F.col("_k")) & (F.col("_n") == F.col("_m")))
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("source", "_key").orderBy(F.col("text").isNull())) - 1)
+    j = d.join(p, (d["_key"] == p["_k"]) & d["source"].eqNullSafe(p["_source"]) & (d["_n"] == p["_nth"]))
     j = j.select("*", F.posexplode("positions").alias("_copy", "_at"))
     part = (F.col("_copy") == F.col("rounds")) & (F.col("more") < F.col("_size")) & (F.col("_size") > 0)
     each = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word and the space before it
