@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from textquarry.functions import stemmer, tokens
 from textquarry.operators import index, search
+from textquarry.sources import corpus
 
 STEMS = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall filing file happy happi sky sky relational relat generalization gener running run mathematics mathemat applied appli displaystyle displaystyl adoption adopt controlled control replacement replac hopefulness hope technology technolog geology geologi possibly possibli probably probabl this thi is is 1990s 1990 1990 1990 byyed by function function trivial trivial thes the".split()
 QUERIES = {"a b": "a&b", "a | b c": "", "!a b": "", "a &": "", "& a": "", "a |": "", "a & & b": "", "!": "", "a !": "", "a & | b": "", "a | & b": "", "( a": "", ") a": "", "()": "", "a ) b": "", "!!a": ""}
@@ -43,3 +44,9 @@ def test_malformed_queries(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_crawl_reaches_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(53)] + [("n53", "n0")], "parent string, child string").coalesce(1)
+    assert {(r.node, r.level) for r in corpus.crawl_levels(edges, "n0").collect()} == {(f"n{i}", i) for i in range(54)}
+    assert corpus.crawl_levels(edges, "n0", most=2).count() == 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +35,11 @@ def rank_curve(spark: SparkSession, path: str, points: int = 200_000) -> DataFra
     return spark.read.schema("rank long, freq long").csv(path, header=True).orderBy("rank").limit(points)
 
 
-def crawl_levels(edges: DataFrame, root: str, most: int = 50, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
-    """node, level of all nodes that (parent, child) edges reach from root, breadth first; `keep` writes each level's table."""
+def crawl_levels(edges: DataFrame, root: str, most: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda x: x.localCheckpoint()) -> DataFrame:
+    """node, level of all nodes that (parent, child) edges reach from root, breadth first; `most` levels at most, if given. `keep`
+    cuts the lineage of each level's table, which else doubles with each level."""
     seen = front = edges.sparkSession.createDataFrame([(root, 0)], "node string, level long")
-    for level in range(1, most + 1):
+    for level in itertools.count(1) if most is None else range(1, most + 1):
         new = edges.join(front, edges["parent"] == front["node"]).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
         front = keep(new.withColumn("level", F.lit(level).cast("long")))
         if front.isEmpty():
