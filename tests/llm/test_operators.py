@@ -234,3 +234,34 @@ def test_near_dups_against_brute_force(spark, monkeypatch):
     got = near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({find(i) for i in root}) > 5
     assert {(r.doc_id, r.component_id) for r in got} == {(i, find(i)) for i in root}
+
+
+def test_secret_words_hold_for_every_match():
+    """Random strings drawn from each rule's parsed regex hold one of its words."""
+    rng = np.random.default_rng(15)
+
+    def draw(parsed) -> str:
+        out = ""
+        for op, x in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(x)
+            elif op == "IN":
+                kind, v = x[rng.integers(len(x))]
+                out += chr(rng.integers(v[0], v[1] + 1) if str(kind) == "RANGE" else v)
+            elif op == "MAX_REPEAT":
+                out += "".join(draw(x[2]) for _ in range(rng.integers(x[0], min(int(x[1]), x[0] + 20) + 1)))
+            elif op == "SUBPATTERN":
+                y = draw(x[3])
+                out += "".join(c.upper() if rng.random() < 0.5 else c for c in y) if x[1] & re.I else y
+            elif op == "BRANCH":
+                out += draw(x[1][rng.integers(len(x[1]))])
+            else:
+                raise ValueError(op)
+        return out
+
+    for name, expression, _, _, words in secrets.RULES:
+        for _ in range(300):
+            text = draw(re._parser.parse(expression))
+            assert re.search(expression, text), (name, text)
+            assert not words or any(w in text.lower() for w in words), (name, text)
