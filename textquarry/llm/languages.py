@@ -1,23 +1,24 @@
 """Hierarchical language identification: linear support vector machines choose the family, then one-versus-one machines vote
 among the languages of that family. Features: square roots of the counts of hashed byte trigrams of the whole lower-cased text.
 
-Fit on at most PER_LANGUAGE documents a language (a documented bound), those of the smallest hashes of doc_id; lang, source
-and doc_id are never inputs of a prediction. Null texts and texts without a letter get `und` and score 0. With no labelled
+Fit on at most PER_LANGUAGE rows a language and TOTAL rows of the LANGUAGES most frequent ones (documented bounds), those of the
+smallest hashes; lang, source and doc_id are never inputs of a prediction. Null texts and texts without a letter get `und` and score 0. With no labelled
 document at all, everything is `und`. Repeated rows give a row each; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import itertools
+import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_texts, materialise, table
+from .shared import map_texts, table
 
-DIM, PER_LANGUAGE = 2048, 1000
+DIM, PER_LANGUAGE, LANGUAGES, TOTAL = 2048, 1000, 64, 16_000
 #: Public language families; a language not listed is a family of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance", "ru": "slavic", "pl": "slavic", "cs": "slavic", "uk": "slavic", "bg": "slavic"}
 
@@ -83,15 +84,36 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def sampled(docs: DataFrame) -> DataFrame:
+    """_lang, _hash, text: rows that may be learned from, those of the smallest hashes of each language. Counts by language set the
+    thresholds, so no language is sorted in one task; the fit then takes the exact number. Rows are sampled, not ids: a doc_id
+    with several rows or languages brings in no more rows than others."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out()).select(F.col("lang").alias("_lang"), F.xxhash64("doc_id", "lang", "text").alias("_hash"), "text")
+    counts = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
+    each = min(PER_LANGUAGE, TOTAL // max(len(counts), 1))
+    condition = F.lit(False)
+    for r in counts:
+        share = min(1.0, 1.3 * (each + 20) / r["count"])
+        condition = condition | ((F.col("_lang") == r["_lang"]) & (F.col("_hash") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)))
+    return known.where(condition)
+
+
 def train(docs: DataFrame) -> dict | None:
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE)
-    ids = materialise(ids.select("doc_id", F.col("lang").alias("_lang")).dropDuplicates(["doc_id"]), "sample")
-    known = docs.select("doc_id", "text").join(ids, "doc_id")
-    rows = map_texts(known, lambda t: (features(t).tobytes(),), "x binary", ["_lang"]).collect()
-    if not rows:
-        return None
-    return fit(np.stack([np.frombuffer(r[1], np.float32) for r in rows]), np.array([r[0] for r in rows]))
+    """A model fit in one task on the bounded sample; only its weights go to the driver."""
+    rows = map_texts(sampled(docs), lambda t: (features(t).tobytes(),), "x binary", ["_lang", "_hash"])
+
+    def run(batches):
+        held: dict[str, list] = {}
+        for b in batches:
+            for lang, h, x in zip(b["_lang"].to_pylist(), b["_hash"].to_pylist(), b["x"]):
+                held.setdefault(lang, []).append((h, x.as_py()))
+        each = min(PER_LANGUAGE, TOTAL // max(len(held), 1))
+        best = [(lang, x) for lang in sorted(held) for _, x in sorted(held[lang])[:each]]
+        held.clear()
+        model = fit(np.stack([np.frombuffer(x, np.float32) for _, x in best]), np.array([lang for lang, _ in best])) if best else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -119,22 +141,21 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """docs without the rows that get `und`; a null lang gets the prediction. The model is fit on docs, so texts of any learned
-    language stay, whatever their score."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    model, kept = train(docs), StructType(list(docs.schema) + [StructField("lang_pred", StringType())])
+    language stay, whatever their score. Extra columns of any name pass through."""
+    model = train(docs)
     some = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
-    names = docs.columns
+    names, at, lang = docs.columns, docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 p = b.slice(i, 512)
-                said = predict(model, np.stack([features(t.as_py().encode()) for t in p["text"]]))[0] if model and p.num_rows else ["und"] * p.num_rows
-                yield pa.RecordBatch.from_arrays([p[k] for k in names] + [pa.array(said, pa.string())], names + ["lang_pred"])
+                if model and p.num_rows:
+                    said = predict(model, np.stack([features(t.as_py().encode()) for t in p.column(at)]))[0]
+                    new = pa.array([x if old is None else old for old, x in zip(p.column(lang).to_pylist(), said)], pa.string())
+                    yield pa.RecordBatch.from_arrays([new if k == lang else p.column(k) for k in range(len(names))], names)
 
-    out = docs.where(some).mapInArrow(run, kept).where("lang_pred <> 'und'")
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
+    return docs.where(some).mapInArrow(run, docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

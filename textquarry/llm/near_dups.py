@@ -16,8 +16,8 @@ Links are found in two rounds, so that a large group costs no square: first each
 classes that share most keys with others and those with the fewest shingles of their own; then classes that are still in
 different components meet under their common keys, in blocks of bounded size, each pair under its first common key alone, and
 only pairs that can link and whose signatures are near leave a block. Signatures and texts are joined to pairs, and only texts
-of classes that share a key are moved. Components come from alternating star contractions on tables in the shared folder;
-no links or labels go to the driver.
+of classes that share a key are moved. Components come from star contractions on tables in the shared folder; no links or labels
+go to the driver.
 
 Null and empty texts have no shingle, link with nothing and are kept. Rows with a null doc_id link with nothing and are kept.
 Repeated rows fall in one class; rows that repeat a doc_id with another text are linked by their text. Extra columns are not read.
@@ -31,10 +31,13 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .shared import map_texts, materialise, mixed, shingles, table
+from .shared import dropped, map_texts, materialise, mixed, shingles, table
 
 K, FEW, BLOCK, PEELS = 48, 4, 1024, 2
+#: A task contracts so many nodes at once.
+TOGETHER = 1 << 19
 #: A link at the threshold itself is lost at most once in so many pairs.
 LOST = 50_000
 #: The shares of an id that comes with several texts: with size 0, it can link with all.
@@ -67,13 +70,13 @@ def _described(text: bytes) -> tuple:
 
 def distance(a: Column, b: Column) -> Column:
     """How many of the 16-bit components of two arrays of 12 longs differ."""
-    total = None
-    for i in range(K // 4):
-        x = a[i].bitwiseXOR(b[i])
+
+    def differing(x: Column) -> Column:
         for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-        total = F.bit_count(x) if total is None else total + F.bit_count(x)
-    return total
+        return F.bit_count(x)
+
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + differing(x))
 
 
 def _keys(sig: Column, bounds: list[int]) -> Column:
@@ -88,27 +91,57 @@ def _near(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", distance(F.col("s"), F.col("t")).alias("far")).where(F.col("far") <= most)
 
 
+def _contracted(batches):
+    """Edges (a, b) of one task as stars: each node with the smallest that it reaches in these edges."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = i = root.get(up, up)
+        return i
+
+    def stars():
+        ends = [(i, find(i)) for i in root]
+        root.clear()
+        x = np.array([e for e in ends if e[0] != e[1]], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    for x in batches:
+        for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist()):
+            p, q = find(a), find(b)
+            root[a] = root[b] = root[p] = root[q] = min(p, q)
+        if len(root) > TOGETHER:
+            yield stars()
+    yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node that it reaches) for each node of edges (a, b)."""
-    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).where(F.col("b") > F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(down, large["a"] == down["u"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = materialise(small, "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == now:
-            return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-        before = now
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """node, root (smallest node that it reaches) for each node of edges (a, b).
+
+    Edges (a > b) are first made stars within each task. A round then moves every edge from b to the smallest neighbour of b, and
+    joins the other smaller neighbours of a to the smallest of them; edges never get more. A large star's centre is the smallest
+    node, so it is never a key of the grouped minima, and the joins on it are left sides that Spark splits when skewed. The
+    rounds end when no edge moves; each at least halves the depth of the trees, so more than 64 mean an error."""
+    e = materialise(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long"), "edges")
+    for _ in range(64):
+        down = e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        moved = e.join(down, e["b"] == down["u"], "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        least = moved.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        split = moved.join(least, moved["a"] == least["u"]).select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"), (F.col("moved") | (F.col("b") > F.col("m"))).alias("moved"))
+        new = materialise(split, "edges")
+        dropped(e)
+        e = new
+        if not e.where("moved").limit(1).count():
+            return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    raise RuntimeError("components do not settle")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the threshold."""
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta"))
-    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("_ta"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("_tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.col("_ta").cast("binary"), F.col("_tb").cast("binary"))
 
     def run(batches):
@@ -126,7 +159,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(n > 0 and 100 * n >= percent * (len(s) + len(t) - n))
             yield pa.RecordBatch.from_arrays([x["a"], x["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _can_link(percent: int, m: Column, n: Column, s: Column, t: Column) -> Column:
@@ -146,13 +179,15 @@ def peeled(texts: DataFrame, percent: int) -> DataFrame:
                 s = shingles(t.as_buffer().to_pybytes())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep, np.int64)), pa.array(s.view(np.int64))], ["rep", "s"])
 
-    left = texts
+    told = None
     for _ in range(PEELS):
+        left = texts if told is None else texts.join(told.select("rep"), "rep", "left_semi")
         each = left.select("rep", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rep long, s long")
         own = each.groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-        told = left.select("rep", "size", "shares").distinct().join(own, "rep", "left").select("rep", "size", F.when(F.col("shares") == ANY, F.col("shares")).otherwise(F.col("shares") - F.coalesce("own", F.lit(0))).alias("shares"))
-        told = materialise(told.where(100 * F.col("shares") >= percent * F.col("size")), "peeled")
-        left = texts.join(told.select("rep"), "rep", "left_semi")
+        known = texts.select("rep", "size", F.col("shares").alias("all")).distinct() if told is None else told.drop("shares")
+        now = known.join(own, "rep", "left").select("rep", "size", "all", F.when(F.col("all") == ANY, F.col("all")).otherwise(F.col("all") - F.coalesce("own", F.lit(0))).alias("shares"))
+        told, before = materialise(now.where(100 * F.col("shares") >= percent * F.col("size")), "peeled"), told
+        dropped(before)
     return told
 
 
@@ -229,43 +264,59 @@ def _meetings(part: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
+    """doc_id, n_shingles, component_id, kept for each row of docs. Ids that are no integers are numbered in their order first."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        return _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent).withColumn("component_id", F.col("component_id").cast(kind)).withColumn("doc_id", F.col("doc_id").cast(kind))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = materialise(ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("n", F.monotonically_increasing_id()), "ids")
+    told = _classes(docs.join(ids, "doc_id", "left").select(F.col("n").alias("doc_id"), "text"), percent)
+    name, component = ids.select(F.col("n").alias("i"), F.col("doc_id").alias("name")), ids.select(F.col("n").alias("j"), F.col("doc_id").alias("of"))
+    out = told.join(name, told["doc_id"] == name["i"], "left").join(component, told["component_id"] == component["j"], "left")
+    return out.select(F.col("name").alias("doc_id"), "n_shingles", F.col("of").alias("component_id"), "kept")
+
+
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
     limit, bounds = chunked(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = materialise(map_texts(docs, _described, "n_shingles long, print string, sig array<long>", ["doc_id"]), "signatures")
     real = told.where("print is not null and doc_id is not null")
+    one = F.count(F.lit(1)) == 1
     reps = materialise(real.groupBy("print").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("rep")), "classes")
     index = reps.select("rep", F.posexplode(_keys(F.col("sig"), bounds)).alias("pos", "key"))
-    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = materialise(index.join(shared, "key"), "shared")
-    large = index.where(F.col("n") > FEW)
-    texts = materialise(docs.join(index.select("rep").distinct(), docs["doc_id"] == F.col("rep")).select("doc_id", "text"), "texts")
-    one = F.count(F.lit(1)) == 1
+    often = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = materialise(index.join(often, "key"), "shared")
     sizes = reps.groupBy("rep").agg(F.when(one, F.min("size")).otherwise(0).alias("size"), F.when(one, F.min("size")).otherwise(ANY).alias("shares"))
-    light = peeled(texts.withColumnRenamed("doc_id", "rep").join(sizes, "rep").join(large.select("rep").distinct(), "rep", "left_semi"), percent)
-    hubs = index.groupBy("rep").agg(F.sum("n").alias("degree"))
-    large = large.join(light, "rep").join(hubs, "rep")
-    small = index.where(F.col("n") <= FEW).join(sizes, "rep").join(hubs, "rep")
+    hubs = common.groupBy("rep").agg(F.sum("n").alias("degree"), F.max(F.col("n") > FEW).alias("peel"))
+    hubs = materialise(hubs.join(sizes, "rep"), "hubs")
+    texts = docs.join(hubs, docs["doc_id"] == F.col("rep")).withColumn("_md5", F.md5("text")).dropDuplicates(["rep", "_md5"])
+    texts = materialise(texts.select("rep", "size", "shares", "peel", "text"), "texts")
+    light = peeled(texts.where("peel"), percent)
     columns = ["key", "pos", "rep", "size", "shares", "degree"]
-    index = large.select(*columns, F.lit(True).alias("large")).unionByName(small.select(*columns, F.lit(False).alias("large")))
-    index = materialise(index, "index")
+    now = hubs.select("rep", "degree", F.col("size").alias("_size"), F.col("shares").alias("_shares")).join(light, "rep", "left")
+    index = common.join(now, "rep").withColumn("large", F.col("n") > FEW).where(~F.col("large") | F.col("size").isNotNull())
+    pick = lambda c: F.when(F.col("large"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+    index = materialise(index.select("key", "pos", "rep", pick("size"), pick("shares"), "degree"), "index")
     most = F.max(F.struct("degree", (-F.col("rep")).alias("low"), "rep", "size", "shares"))
     least = F.max(F.struct((F.col("shares") - F.col("size")).alias("own"), (-F.col("rep")).alias("low"), "rep", "size", "shares"))
-    pick = lambda x: F.struct(x["rep"].alias("b"), x["size"].alias("bn"), x["shares"].alias("bs"))
-    lead = index.groupBy("key").agg(F.array_distinct(F.array(pick(most), pick(least))).alias("leads"))
+    named = lambda x: F.struct(x["rep"].alias("b"), x["size"].alias("bn"), x["shares"].alias("bs"))
+    lead = index.groupBy("key").agg(F.array_distinct(F.array(named(most), named(least))).alias("leads"))
     met = index.join(lead, "key").select(F.col("rep").alias("a"), "size", "shares", F.explode("leads").alias("lead")).select("a", "size", "shares", "lead.*")
-    met = met.where((F.col("a") != F.col("b")) & _can_link(percent, F.col("size"), F.col("bn"), F.col("shares"), F.col("bs"))).select("a", "b").distinct()
-    links = materialise(_linked(_near(met, reps, limit).select("a", "b"), texts, percent), "links")
-    some = materialise(components(links), "some")
-    part = index.join(some, index["rep"] == some["node"], "left").select(*columns, "large", F.coalesce("root", "rep").alias("root"))
+    met = met.where((F.col("a") != F.col("b")) & _can_link(percent, F.col("size"), F.col("bn"), F.col("shares"), F.col("bs"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    met = materialise(_near(met, reps, limit).select("a", "b"), "met")
+    some = materialise(components(_linked(met, texts, percent)), "some")
+    part = index.join(some, index["rep"] == some["node"], "left").select(*columns, F.coalesce("root", "rep").alias("root"))
     many = part.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     part = materialise(part.join(many, "key", "left_semi").join(reps.select("rep", "sig"), "rep"), "parts")
     rest = materialise(_meetings(part, percent).distinct(), "rest")
-    links = links.unionByName(_linked(rest, texts, percent))
+    links = _linked(rest, texts, percent).unionByName(some.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = materialise(components(links), "roots")
     ids = reps.join(roots, reps["rep"] == roots["node"], "left").select("print", F.coalesce("root", "rep").alias("root"))
     out = told.join(ids, "print", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    for x in (common, hubs, texts, light, index, met, some, part, rest):
+        dropped(x)
+    return out
 
 
 def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:

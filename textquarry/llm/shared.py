@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,7 +12,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-SPACES = b" \t\n\x0b\x0c\r"
+_LOCAL: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,25 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary one."""
+    """The folder of spark.checkpoint.dir. Where it is unset: the warehouse on a cluster, and a temporary folder in local mode,
+    where all tasks run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textquarry-")
-        atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="textquarry-"))
+        atexit.register(shutil.rmtree, _LOCAL[0][7:], ignore_errors=True)
+    return _LOCAL[0]
+
+
+def _stored(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors cost no rerun.
-    The table goes when the JVM ends."""
+    The table goes when it is dropped, or when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    store, where = _stored(spark, path)
+    store.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Deletes the table of a materialised df that nothing reads any more."""
+    if df is not None:
+        store, where = _stored(df.sparkSession, df._stored_at)
+        store.delete(where, True)
+        store.cancelDeleteOnExit(where)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
