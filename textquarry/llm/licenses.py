@@ -93,9 +93,11 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         places, labels = [], set()
         for phrase, label in PHRASES.items():
-            p, at = b" " + phrase.encode() + b" ", -1
+            p, at, before, n = b" " + phrase.encode() + b" ", -1, 0, 0
             while (at := line.find(p, at + 1)) >= 0:
-                places.append(line.count(b" ", 0, at))
+                n += line.count(b" ", before, at)
+                before = at
+                places.append(n)
                 labels.add(label)
         found: dict[str, float] = {}
         if not self.prefix.isdisjoint(words) and (can := self.block(set(words))):

@@ -10,6 +10,7 @@ times and then the first of the order, the last one in part, until the target is
 
 Prefix sums run in two levels (4096 key ranges a source, then within a range), so a source with a third of all rows is split.
 Null text: size 0, taken 0. Null source: a source of its own. Empty table: no rows. Repeated rows: a row each.
+Extra columns, of any name, are not read by plan() and pass through mix().
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def time_of(u: Column, number: Column) -> Column:
         out, done = None, 0.0
         for (t0, w0), (t1, w1), x in zip(knots, knots[1:], area):
             need, slope = u * sum(area) - done, (w1 - w0) / (t1 - t0)
-            at = F.lit(t0) + (need / w0 if slope == 0 else (F.sqrt(F.greatest(F.lit(0.0), F.lit(w0 * w0) + 2 * slope * need)) - w0) / slope)
+            at = F.lit(t0) + (need / w0 if slope == 0 else (F.sqrt(F.greatest(F.lit(0.0), F.lit(w0 * w0) + F.lit(2 * slope) * need)) - w0) / slope)
             out = F.when(u * sum(area) <= done + x + 1e-12, at) if out is None else out.when(u * sum(area) <= done + x + 1e-12, at)
             done += x
         out = out.otherwise(F.lit(1.0))
@@ -95,34 +96,55 @@ def ranged(df: DataFrame, at: Column, key: str) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs repeated as the mix takes them, range-sorted by training position; the copy that meets a target ends there.
-    Documents without words are kept once, as they cost no token."""
-    p = plan(docs).select(F.col("source").alias("_source"), F.col("key").alias("_k"), F.col("size").alias("_size"), "rounds", "more", F.col("nth").alias("_nth"), "positions")
+    Documents without words are kept once, as they cost no token. Extra columns of any name pass through."""
+    p = plan(docs).select(F.col("source").alias("of"), F.col("key").alias("same"), "size", "rounds", "more", "nth", "positions")
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    d = docs.withColumn("_key", key)
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("source", "_key").orderBy(F.col("text").isNull())) - 1)
-    j = d.join(p, (d["_key"] == p["_k"]) & d["source"].eqNullSafe(p["_source"]) & (d["_n"] == p["_nth"]))
-    j = j.select("*", F.posexplode("positions").alias("_copy", "_at"))
-    part = (F.col("_copy") == F.col("rounds")) & (F.col("more") < F.col("_size")) & (F.col("_size") > 0)
-    each = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word and the space before it
+    d = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.col("source").alias("_source"), F.col("text").isNull().alias("wordless"))
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy("_source", "key").orderBy("wordless")) - 1)
+    j = d.join(p, (d["key"] == p["same"]) & d["_source"].eqNullSafe(p["of"]) & (d["n"] == p["nth"]))
+    j = j.select("row", "key", "size", "rounds", "more", F.posexplode("positions").alias("copy", "at"))
+    part = (F.col("copy") == F.col("rounds")) & (F.col("more") < F.col("size")) & (F.col("size") > 0)
+    each = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word and the space before it
     cut = F.array_join(F.slice(each, 1, F.greatest(F.col("more"), F.lit(0)).cast("int")), "")
-    j = j.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        j = j.withColumn("n_chars", F.length("text").cast("long"))
-    return ranged(j, F.col("_at"), "_key").select(*docs.columns)
+    text = F.when(part, cut).otherwise(F.col("row.text"))
+    new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return ranged(j, F.col("at"), "key").select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document, range-sorted by the position of its first copy (those not taken last); positions has all its copies."""
-    return ranged(plan(table(spark, sf_dir, "documents")), F.get("positions", F.lit(0)), "key").select("doc_id", "size", "source_size", "target", "taken", "positions")
+    """A row for each document, range-sorted by the position of its first copy (those not taken last); position_1 to position_CAP
+    are the training times of its copies, as no source is taken more than CAP times."""
+    at = [F.get("positions", F.lit(c)).alias(f"position_{c + 1}") for c in range(CAP)]
+    return ranged(plan(table(spark, sf_dir, "documents")), F.get("positions", F.lit(0)), "key").select("doc_id", "size", "source_size", "target", "taken", *at)
+
+
+def _sql_time(k: int) -> str:
+    """The position of copy k in SQL, by each schedule's quadratic written out."""
+    start = f"least(CAST(start + CAST({k} AS BIGINT) * source_size AS DOUBLE) / target, CAST(1.0 AS DOUBLE))"
+    u = f"(CASE WHEN target > 0 THEN {start} ELSE CAST(0.0 AS DOUBLE) END)"
+    e = lambda v: f"CAST('{v}' AS DOUBLE)"
+    whole = []
+    for number, knots in enumerate(SCHEDULES):
+        total, done, cases = sum((w0 + w1) / 2 * (t1 - t0) for (t0, w0), (t1, w1) in zip(knots, knots[1:])), 0.0, []
+        for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+            slope, area = (w1 - w0) / (t1 - t0), (w0 + w1) / 2 * (t1 - t0)
+            need = f"({u} * {e(total)} - {e(done)})"
+            at = f"{e(t0)} + {need} / {e(w0)}" if slope == 0 else f"{e(t0)} + (sqrt(greatest({e(0.0)}, {e(w0 * w0)} + {e(2 * slope)} * {need})) - {e(w0)}) / {e(slope)}"
+            cases.append(f"WHEN {u} * {e(total)} <= {e(done + area + 1e-12)} THEN {at}")
+            done += area
+        whole.append(f"WHEN number % {len(SCHEDULES)} = {number} THEN CASE {' '.join(cases)} ELSE {e(1.0)} END")
+    return f"CASE WHEN copies > {k} THEN CASE {' '.join(whole)} END END AS position_{k + 1}"
 
 
 SQL = rf"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number FROM d GROUP BY source),
 w AS (SELECT *, CAST(number % 3 + 1 AS BIGINT) AS weight, CAST({CAP} * source_size AS DOUBLE) / (number % 3 + 1) AS ratio FROM s),
-c AS (SELECT *, CAST(coalesce(sum({CAP} * source_size) OVER (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS caps, CAST(sum(weight) OVER (ORDER BY ratio, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS onward, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM w),
-l AS (SELECT *, CAST(total - caps AS DOUBLE) / onward AS level FROM c),
+k AS (SELECT *, CAST(coalesce(sum({CAP} * source_size) OVER (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS caps, CAST(sum(weight) OVER (ORDER BY ratio, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS onward, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM w),
+l AS (SELECT *, CAST(total - caps AS DOUBLE) / onward AS level FROM k),
 h AS (SELECT level AS held FROM l WHERE ratio >= level ORDER BY ratio, number LIMIT 1),
-t AS (SELECT source, source_size, least(CAST({CAP} * source_size AS DOUBLE), held * weight) AS target FROM l, h),
-p AS (SELECT d.doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS goal, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS rounds FROM p)
-SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(0, least(size, goal - rounds * source_size - start)) AS BIGINT) AS taken FROM r"""
+t AS (SELECT source, source_size, number, least(CAST({CAP} * source_size AS DOUBLE), held * weight) AS target FROM l, h),
+p AS (SELECT d.doc_id, size, source_size, number, target, CAST(floor(target) AS BIGINT) AS goal, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS rounds FROM p),
+m AS (SELECT *, greatest(0, least(size, goal - rounds * source_size - start)) AS more FROM r),
+c AS (SELECT *, CASE WHEN size = 0 THEN 1 ELSE rounds + CASE WHEN more > 0 THEN 1 ELSE 0 END END AS copies FROM m)
+SELECT doc_id, size, source_size, target, CAST(rounds * size + more AS BIGINT) AS taken, {", ".join(_sql_time(k) for k in range(CAP))} FROM c"""

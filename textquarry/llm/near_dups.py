@@ -323,12 +323,12 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id. Rows that repeat a doc_id and text go but for one; those
     that repeat a doc_id with another text stand for themselves. Rows are therefore numbered in the order of doc_id, then text."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.where("doc_id is not null").withColumn("_md5", F.coalesce(F.md5("text"), F.lit("")))
-    d = d.repartitionByRange(n, "doc_id", "_md5").dropDuplicates(["doc_id", "_md5"]).sortWithinPartitions("doc_id", "_md5")
-    d = materialise(d.drop("_md5").withColumn("_number", F.monotonically_increasing_id()), "numbered")
-    told = classes(d.select(F.col("_number").alias("doc_id"), "text"), percent)
-    gone = told.where(~F.col("kept")).select(F.col("doc_id").alias("_number"))
-    named = d.join(gone, "_number", "left_anti").select(*docs.columns)
+    d = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("md5"))
+    d = d.repartitionByRange(n, "id", "md5").dropDuplicates(["id", "md5"]).sortWithinPartitions("id", "md5")
+    d = materialise(d.select("row", F.monotonically_increasing_id().alias("number")), "numbered")
+    told = classes(d.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), percent)
+    gone = told.where(~F.col("kept")).select(F.col("doc_id").alias("number"))
+    named = d.join(gone, "number", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
     return named.unionByName(docs.where("doc_id is null"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import materialise, smallest, table
 
 SAMPLE, BINS, COARSE, ROUNDS, PAIRS, RATE = 20_000, 32, 8, 120, 6, 0.15
 SYMBOLS = b"#*$%&|<>!@{}[]=+\\/~^_"
@@ -132,14 +132,15 @@ def _vectors(batches, keep):
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_y")).where(~held_out())
-    ids = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "sample")
+    ids = materialise(smallest(known, F.xxhash64("doc_id"), SAMPLE).select("doc_id", "_y"), "sample")
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("_text")).join(F.broadcast(ids), "doc_id").select("_y", "_text")  # SAMPLE rows at most
 
     def run(batches):
         for p, x in _vectors(batches, ()):
             yield pa.RecordBatch.from_arrays([p["_y"], pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = rows.mapInArrow(run, "y int, x array<double>").orderBy(F.xxhash64("x"), "y").limit(SAMPLE).collect()
+    found = materialise(rows.mapInArrow(run, "y int, x array<double>"), "vectors")
+    got = smallest(found, F.xxhash64("x"), SAMPLE).select("y", "x").collect()
     return Model(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got], float))
 
 

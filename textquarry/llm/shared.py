@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import re
 import shutil
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -59,6 +62,21 @@ def dropped(df: DataFrame | None) -> None:
         store.cancelDeleteOnExit(where)
 
 
+def worker_cache() -> dict:
+    """A dictionary that lasts as long as the Python worker. Functions sent by value bring globals of their own for each task; what
+    is costly to build is held here, under a module that the worker registers for itself."""
+    return vars(sys.modules.setdefault("textquarry_worker_cache", types.ModuleType("textquarry_worker_cache")))
+
+
+def smallest(df: DataFrame, order: Column, most: int) -> DataFrame:
+    """The `most` rows of df of the smallest 64-bit hashes `order`, which is also returned as _order. Where df has more, a threshold by count
+    goes first, so that the last sort meets little more than `most` rows in all, not from each task. df is read twice."""
+    df = df.withColumn("_order", order)
+    share = 1.3 * (most + 20) / max(df.count(), 1)
+    few = df.where(F.col("_order") <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else df
+    return few.orderBy("_order", *[c for c in df.columns if c != "_order"]).limit(most)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, element by element."""
     x = x.astype(np.uint64, copy=True)
@@ -73,7 +91,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def map_texts(df: DataFrame, fn, schema: str, keep: list[str], text: str = "text") -> DataFrame:
     """A row per row of df: `keep` columns, then the values of fn(text as bytes) under the names of `schema`. Null text: b""."""
     import pyarrow as pa
-    from pyspark.sql import functions as F
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
