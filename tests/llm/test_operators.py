@@ -1,6 +1,7 @@
 """Small cases with known results: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -200,6 +201,76 @@ def test_neighbours(spark):
     assert found >= 27 and not got.query_id.isin([300, 350, 400]).any()
 
 
+def nearest(rows: dict, every: int = 50, many: int = 5) -> dict:
+    """The nearest ids of each query by brute force; rows by vec_id."""
+    fine = {i: np.asarray(v, float) for i, v in rows.items() if v is not None and len(v) and np.isfinite(np.array(v, float)).all() and any(v)}
+    out = {}
+    for q in fine:
+        if q % every == 0:
+            x = neighbours.scaled([fine[q]])[0]
+            scored = sorted((-neighbours.cosines(x, neighbours.scaled([v]))[0], i) for i, v in fine.items() if i != q and len(v) == len(x))
+            out[q] = [i for _, i in scored[:many]]
+    return out
+
+
+def test_neighbour_ties_and_few(spark):
+    """Scaled copies of one vector, tables of few vectors, opposite, tiny and huge ones: whole and exact answers."""
+    rng = np.random.default_rng(31)
+    v = rng.standard_normal(16)
+    cases = [{i: (v * 2.0 ** (i % 40)).tolist() for i in range(100)}]
+    cases.append({0: v.tolist(), 1: (-v).tolist(), 2: None, 3: [0.0] * 16, 4: [float("inf")] * 16, 5: [1.0, 2.0]})
+    cases.append({50 * i: (rng.standard_normal(8) * 10.0 ** (300 if i % 2 else -310)).tolist() for i in range(6)})
+    for rows in cases:
+        got: dict = {}
+        df = spark.createDataFrame([(i, x, "e") for i, x in rows.items()] + [(None, v.tolist(), "e"), (0, rows[0], "e")], "vec_id long, embedding array<double>, vec string")
+        for r in neighbours.search(df).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {q: ids for q, ids in nearest(rows).items() if ids}
+
+
+def test_neighbours_hot_vector(spark, monkeypatch):
+    """A vector that half of all rows hold, in blocks of few rows; every query of the others has recall of its own."""
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    rng = np.random.default_rng(32)
+    rows = {i: rng.standard_normal(12).tolist() for i in range(400)} | {i: [1.0] * 12 for i in range(400, 800)}
+    got: dict = {}
+    for r in neighbours.search(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = nearest({i: np.float32(x).tolist() for i, x in rows.items()})
+    assert got.keys() == want.keys() and all(got[q] == want[q] for q in want if q >= 400)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want if q < 400) >= 36
+
+
+def test_minimum_determinant_against_brute_force():
+    rng = np.random.default_rng(33)
+    for n in (8, 11, 13):
+        x = rng.standard_normal((n, outliers.DIMS))
+        x[: n // 5] += 8
+        keep = int(np.ceil(outliers.SHARE * n))
+        least = min(outliers._estimate(x[list(rows)])[2] for rows in itertools.combinations(range(n), keep))
+        found = outliers.searched(x, 1)
+        assert abs(outliers._estimate(x[list(found[0])])[2] - least) < 1e-9 and not set(found[0]) & set(range(n // 5))
+
+
+def test_outlier_verdicts(spark):
+    """Groups of every size and a hot one; a document unlike its source goes, the others stay; base counts by brute force."""
+    rng = np.random.default_rng(34)
+    pool = [f"word{k}" for k in range(400)]
+    texts = [(i, " ".join(rng.choice(pool, rng.integers(60, 140))) + ".\nline\nline", "en" if i % 7 else None, "hot" if i % 3 else f"s{i % 8}") for i in range(700)]
+    texts += [(1000, " ".join("#$%&|<>" + w for w in rng.choice(pool, 90)), "en", "hot"), (1001, "x " * 500, "en", "hot"), (1002, None, "en", "hot"), (1003, "", None, None), (1004, " ".join(rng.choice(pool, 90)), "xx", "only")]
+    got = {r.doc_id: r for r in outliers.verdicts(spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[1000].base_failed and not got[1000].kept and got[1001].base_failed and got[1002].base_failed and got[1003].base_failed and got[1004].kept
+    assert sum(got[i].kept for i in range(700)) >= 690
+    for i, t, _, _ in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        twice = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)}
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(twice)), i
+        assert r.base_failed == (len(words) < 20 or 100 * len(twice) > 30 * len(words))
+
+
 def test_outlier_statistics():
     t = b"a b c d e f g h\nx\na b c d e f g h\n\nx #"
     assert outliers.statistics(t) == (19, 19, 1, 1, 18)

@@ -2,27 +2,32 @@
 
 Each of TABLES tables hashes a unit vector to HASHES values floor((a.v + b) / WIDTH), a Gaussian. A query visits PROBES buckets
 a table: its own, then perturbed ones, in order of the sum of squared distances to the crossed borders. Candidates of all tables
-are merged and reranked by exact cosine in double precision on the original vectors.
+are merged and reranked by exact cosine in double precision on the original vectors. A query that finds fewer than it should
+meets all rows, in blocks, so small tables and far vectors get whole answers.
 
-Equal vectors form a class with its smallest vec_ids, as no more can be among the nearest; buckets beyond BLOCK rows are split
-into blocks, each of which meets the queries that visit it, so no task holds a whole hot bucket. All rows are indexed.
-Vectors null, zero, or with null or non-finite components take no part; a table without any gives an empty result. Vectors of
-other lengths than the query's are not its candidates (their buckets carry the length). Repeated vec_ids count once.
+Equal vectors form a class with its smallest vec_ids, as no more can be among the nearest, and are one query. Buckets are dealt
+to cells of about BLOCK rows, and a bucket beyond BLOCK rows to cells of its own; a query goes once to each cell that holds a
+bucket it visits, so no task holds a whole hot bucket and vectors are not copied for each bucket. All rows are indexed.
+
+Within a cell every row within rounding of the last place is scored exactly, so ties are whole and go to smaller vec_ids.
+Vectors are scaled by powers of two first, which changes no cosine but keeps norms of tiny and huge ones in range. Vectors null,
+zero, or with null or non-finite components take no part; a table without any gives an empty result. Vectors of other lengths
+than the query's are not its candidates. Repeated vec_ids count once (their least vector). Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import materialise, mixed, table
 
-TABLES, HASHES, WIDTH, PROBES, BLOCK, NEAREST, EVERY = 6, 3, 1.0, 60, 4096, 5, 50
+TABLES, HASHES, WIDTH, PROBES, BLOCK, NEAREST, EVERY = 3, 6, 2.0, 90, 4096, 5, 50
 
 
 def _planes(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,11 +35,23 @@ def _planes(dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((TABLES, HASHES, dim)), rng.uniform(0, WIDTH, (TABLES, HASHES))
 
 
-def _key(cells: np.ndarray, dim: int) -> int:
-    out = dim
-    for c in cells.tolist():
-        out = (out * 4099 + c + 2048) % (1 << 61)
-    return out
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, times a power of two that brings their largest component to 0.5 to 1."""
+    x = np.asarray(x, float)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of y with x, both scaled."""
+    return (y * x).sum(1) / (np.sqrt((y * y).sum(1)) * np.sqrt((x * x).sum()))
+
+
+def _keys(cells: np.ndarray, dim: int) -> np.ndarray:
+    """A 64-bit key for each row of integer cells."""
+    out = np.full(len(cells), dim, np.uint64)
+    for c in cells.T:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64))
+    return out.view(np.int64)
 
 
 def probes(f: np.ndarray, many: int) -> list[np.ndarray]:
@@ -61,76 +78,118 @@ def probes(f: np.ndarray, many: int) -> list[np.ndarray]:
     return out
 
 
-def _hashed(rows: DataFrame, name: str, many: int) -> DataFrame:
-    """Rows of `name` and vec, once for each bucket (t, key) that they are in (many = 1) or visit."""
+def _hashed(rows: DataFrame, many: int) -> DataFrame:
+    """(rep, t, key) of the buckets that each row (rep, vec) is in (many = 1) or visits."""
 
     def run(batches):
         for b in batches:
-            for i in range(0, len(b), 256):
-                p = b.iloc[i : i + 256]
-                ids, t, key, vecs = [], [], [], []
-                for r, v in zip(p[name], p["vec"]):
-                    u = np.asarray(v, float)
-                    a, shift = _planes_of(len(u))
-                    f = (a @ (u / np.linalg.norm(u)) + shift) / WIDTH
-                    for k in range(TABLES):
-                        for cells in probes(f[k], many) if many > 1 else [np.floor(f[k])]:
-                            ids.append(r), t.append(k), key.append(_key(cells.astype(int), len(u))), vecs.append(v)
-                yield pd.DataFrame({name: ids, "t": t, "key": key, "vec": vecs})
-
-    made: dict[int, tuple] = {}
+            for i in range(0, b.num_rows, 512):
+                p = b.slice(i, 512)
+                reps, vecs = p["rep"].to_numpy(), p["vec"].to_pylist()
+                sizes = np.array([len(v) for v in vecs])
+                for dim in np.unique(sizes):
+                    at = np.flatnonzero(sizes == dim)
+                    x = scaled([vecs[k] for k in at])
+                    planes, shift = _planes(int(dim))
+                    for t in range(TABLES):
+                        f = (x / np.linalg.norm(x, axis=1, keepdims=True) @ planes[t].T + shift[t]) / WIDTH
+                        cells = [probes(row, many) for row in f] if many > 1 else [[np.floor(row)] for row in f]
+                        n = [len(c) for c in cells]
+                        key = _keys(np.concatenate([np.stack(c) for c in cells]), int(dim))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps[at], n)), pa.array(np.full(len(key), t, np.int32)), pa.array(key)], ["rep", "t", "key"])
+
+    return rows.select("rep", "vec").mapInArrow(run, "rep long, t int, key long")
+
+
+def _met(asked: DataFrame, held: DataFrame, nearest: int) -> DataFrame:
+    """query, rep, score of the best of each cell: asked (t, cell, rep, keys, vec) meets held (t, cell, rep, key, vec) on keys."""
 
-    def _planes_of(dim: int):
-        if dim not in made:
-            made[dim] = _planes(dim)
-        return made[dim]
-
-    return rows.select(name, "vec").mapInPandas(run, f"{name} long, t int, key long, vec array<double>")
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        q, r, s = [], [], []
+        if len(left) and len(right):
+            visitors: dict[int, list[int]] = {}
+            for i, keys in enumerate(left["keys"]):
+                for k in keys:
+                    visitors.setdefault(k, []).append(i)
+            key, order = right["key"].to_numpy(), np.argsort(right["key"].to_numpy(), kind="stable")
+            cuts = np.flatnonzero(np.diff(key[order], prepend=key[order][0] - 1))
+            here = [(visitors[k], rows) for k, rows in zip(key[order][cuts].tolist(), np.split(order, cuts[1:])) if k in visitors]
+            ids, reps, asks, holds = left["rep"].to_numpy(), right["rep"].to_numpy(), left["vec"].tolist(), right["vec"].tolist()
+            lengths = np.array([len(v) for v in holds])
+            of = {}  # a bucket's vectors, scaled, of its visitors' length
+            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for who, rows in here:
+                for dim in {len(asks[i]) for i in who}:
+                    same, those = [i for i in who if len(asks[i]) == dim], rows[lengths[rows] == dim]
+                    if not len(those):
+                        continue
+                    y = scaled([holds[k] for k in those])
+                    unit = (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+                    for k, v in zip(those.tolist(), y):
+                        of[k] = v
+                    for at in range(0, len(same), 256):
+                        part = same[at : at + 256]
+                        x = scaled([asks[i] for i in part])
+                        c = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit
+                        last = np.partition(c, c.shape[1] - min(nearest, c.shape[1]), axis=1)[:, c.shape[1] - min(nearest, c.shape[1])]
+                        for i, row, least in zip(part, c, last):
+                            best = np.flatnonzero(row >= least - 1e-9)
+                            found.setdefault(i, []).append((those[best], row[best]))
+            for i, parts in found.items():
+                rows, near = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                if len(rows) > nearest:
+                    rows = rows[near >= np.partition(near, len(near) - nearest)[len(near) - nearest] - 1e-9]
+                score = cosines(scaled([asks[i]])[0], np.stack([of[k] for k in rows.tolist()]))
+                first = np.lexsort((reps[rows], -score))[:nearest]
+                q += [ids[i]] * len(first)
+                r += reps[rows[first]].tolist()
+                s += score[first].tolist()
+        return pd.DataFrame({"query": np.array(q, np.int64), "rep": np.array(r, np.int64), "score": np.array(s, float)})
+
+    found = asked.groupBy("t", "cell").cogroup(held.groupBy("t", "cell")).applyInPandas(meet, "query long, rep long, score double")
+    return found.groupBy("query", "rep").agg(F.max("score").alias("score"))
+
+
+def _first(found: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """query, score, vec_id: the first ids of (query, rep, score), ties to smaller ids."""
+    few = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= most).drop("n")
+    each = few.join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
+    return each.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= most).drop("n")
 
 
 def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score."""
-    vec = F.col("embedding").cast("array<double>")
-    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & F.coalesce(fine, F.lit(False))).where(norm > 0)
-    rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    rows = materialise(rows.withColumn("pad", F.pmod(F.xxhash64("vec_id"), F.lit(16))), "vectors")
-    part = rows.groupBy("vec", "pad").agg(F.array_sort(F.collect_list("vec_id")).alias("i")).select("vec", F.slice("i", 1, nearest + 1).alias("i"))
-    classes = part.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("i"))), 1, nearest + 1).alias("ids"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    vec = F.col("embedding") if kind in ("float", "double") else F.col("embedding").cast("array<double>")
+    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where("vec_id is not null and vec is not null")
+    rows = rows.where(F.coalesce(fine, F.lit(False)) & F.exists("vec", lambda x: x != 0))
+    rows = materialise(rows.groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
+    most = nearest + 1  # one of them may be the query itself
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("n") <= most)
+    classes = few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     classes = materialise(classes.withColumn("rep", F.col("ids")[0]), "vector-classes")
-    index = materialise(_hashed(classes, "rep", 1), "buckets")
-    large = index.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    large = materialise(large, "large")
-    asked = _hashed(rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumnRenamed("vec_id", "query_id"), "query_id", PROBES)
-    blocks = F.coalesce("blocks", F.lit(1))
-    index = index.join(large, ["t", "key"], "left").select("t", "key", F.pmod(F.xxhash64("rep"), blocks.cast("long")).alias("block"), "rep", "vec")
-    asked = asked.join(large, ["t", "key"], "left").select("t", "key", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "query_id", "vec")
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "rep": [], "score": []}).astype({"query_id": "int64", "rep": "int64", "score": "float64"})
-        x, y = np.stack(left["vec"].to_list()), np.stack(right["vec"].to_list())
-        nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        q, r, s = [], [], []
-        ids, reps = left["query_id"].to_numpy(), right["rep"].to_numpy()
-        for i in range(0, len(x), 256):
-            c = (x[i : i + 256] @ y.T) / (nx[i : i + 256, None] * ny)
-            n = min(nearest + 4, c.shape[1])
-            best = np.argpartition(-c, n - 1, axis=1)[:, :n]
-            for k, row in enumerate(best):
-                q += [ids[i + k]] * n
-                r += reps[row].tolist()
-                s += ((y[row] * x[i + k]).sum(1) / (ny[row] * math.sqrt((x[i + k] * x[i + k]).sum()))).tolist()
-        return pd.DataFrame({"query_id": q, "rep": r, "score": s})
-
-    found = asked.groupBy("t", "key", "block").cogroup(index.groupBy("t", "key", "block")).applyInPandas(meet, "query_id long, rep long, score double")
-    found = found.groupBy("query_id", "rep").agg(F.max("score").alias("score"))
-    found = found.join(classes.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    from pyspark.sql import Window
-
+    asks = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("_vec"))
+    queries = materialise(asks.join(classes.select("rep", "vec"), asks["_vec"] == F.col("vec")).select("query_id", "rep"), "queries")
+    asked = materialise(classes.select("rep", "vec").join(queries.select("rep").distinct(), "rep"), "asked")
+    many = F.lit(-(-classes.count() // BLOCK) or 1).cast("long")
+    index = materialise(_hashed(classes, 1), "buckets")
+    large = index.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
+    own = lambda block: F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("key"), many)).otherwise(-1 - F.abs(F.xxhash64("key", block) % (1 << 60)))
+    held = index.join(large, ["t", "key"], "left").select("t", own(F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("cell"), "rep", "key").join(classes.select("rep", "vec"), "rep")
+    sent = _hashed(asked, PROBES).join(large, ["t", "key"], "left")
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))).select("rep", "t", "key", own(F.col("block")).alias("cell"))
+    sent = sent.groupBy("rep", "t", "cell").agg(F.collect_list("key").alias("keys")).join(asked, "rep")
+    found = materialise(_first(_met(sent, held, most), classes, most), "found")
+    short = asked.join(found.groupBy("query").count().where(F.col("count") >= most), asked["rep"] == F.col("query"), "left_anti")
+    size = F.size("vec").cast("long")
+    blocked = classes.select(F.lit(0).alias("t"), F.pmod(F.xxhash64("rep"), many).alias("cell"), "rep", size.alias("key"), "vec")
+    again = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("cell"), "rep", F.array(size).alias("keys"), "vec")
+    exact = _first(_met(again, blocked, most), classes, most) if not short.isEmpty() else found.limit(0)
+    found = found.join(exact.select("query").distinct(), "query", "left_anti").unionByName(exact)
+    out = queries.join(found, queries["rep"] == found["query"]).where(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
