@@ -97,12 +97,13 @@ def ranged(df: DataFrame, at: Column, key: str) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """docs repeated as the mix takes them, range-sorted by training position; the copy that meets a target ends there.
     Documents without words are kept once, as they cost no token. Extra columns of any name pass through."""
-    p = plan(docs).select(F.col("source").alias("of"), F.col("key").alias("same"), "size", "rounds", "more", "nth", "positions")
+    of = lambda source, key: F.md5(F.concat(key, F.lit(":"), F.coalesce(F.concat(F.lit("s"), source), F.lit(""))))
+    p = plan(docs).select(of(F.col("source"), F.col("key")).alias("same"), F.struct("nth", "size", "rounds", "more", "positions").alias("take"))
+    p = p.groupBy("same").agg(F.array_sort(F.collect_list("take")).alias("takes"))  # one, but for repeated rows
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    d = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.col("source").alias("_source"), F.col("text").isNull().alias("wordless"))
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy("_source", "key").orderBy("wordless")) - 1)
-    j = d.join(p, (d["key"] == p["same"]) & d["_source"].eqNullSafe(p["of"]) & (d["n"] == p["nth"]))
-    j = j.select("row", "key", "size", "rounds", "more", F.posexplode("positions").alias("copy", "at"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).withColumn("same", of(F.col("row.source"), F.col("key")))
+    j = d.join(p, "same").withColumn("n", F.row_number().over(Window.partitionBy("same").orderBy(F.col("row.text").isNull())) - 1)
+    j = j.select("row", "key", F.get("takes", F.col("n")).alias("take")).select("row", "key", "take.size", "take.rounds", "take.more", F.posexplode("take.positions").alias("copy", "at"))
     part = (F.col("copy") == F.col("rounds")) & (F.col("more") < F.col("size")) & (F.col("size") > 0)
     each = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word and the space before it
     cut = F.array_join(F.slice(each, 1, F.greatest(F.col("more"), F.lit(0)).cast("int")), "")
