@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PATTERN = "[0-9A-Za-z]+"
+#: The crawler's words: Latin and Cyrillic letters and digits.
+WORD = "[A-Za-zА-Яа-яЁё0-9]+"
 
 
 def raw_tokens(text: Column) -> Column:
@@ -17,8 +19,7 @@ def tokens(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """The crawler's words: Latin and Cyrillic letters and digits."""
-    return F.size(F.regexp_extract_all(text, F.lit("[A-Za-zА-Яа-яЁё0-9]+"), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
 def stable_id(pageid: Column, title: Column) -> Column:

@@ -7,23 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions.stemmer import with_stem
 from ..functions.tokens import tokens
+from ..sources.store import stored
 
 
-def docs_table(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc_id (dense ordinal by key), doc_key, title, url. Ranks come from range partitions and their counts, not one task."""
-    named = rows.select(F.col(key).alias("_k"), *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("title", "url")])
-    cells = named.repartitionByRange("_k").sortWithinPartitions("_k").withColumn("_m", F.monotonically_increasing_id())
-    cells = cells.withColumn("_p", F.shiftrightunsigned("_m", 33))
-    counts = cells.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = cells.join(counts, "_p").withColumn("doc_id", F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+def ordered(rows: DataFrame, *order: str, name: str = "ordinal", first: int = 0) -> DataFrame:
+    """rows with a dense number by `order`. It comes from range partitions and their counts, not from one task; rows are stored
+    first, so that both passes see the same partitions."""
+    columns = rows.columns
+    cells = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    cells = stored(cells.select("*", F.monotonically_increasing_id().alias("_m")), "ordered").withColumn("_p", F.shiftrightunsigned("_m", 33))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    counts = cells.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    return cells.join(counts, "_p").select(*columns, (F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + first).alias(name))
+
+
+def numbered(rows: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """doc_id (dense ordinal in the order of `order`, else of the key), doc_key, title, url, and text if rows have it. Documents,
+    postings and pages all take their ordinals from here. Rows that repeat a key have ordinals of their own."""
+    optional = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("title", "url", "text")]
+    named = rows.select(F.col(order or key).alias("_o"), F.col(key).alias("_k"), *optional)
     text = F.col("_k").cast("string")
-    return out.select("doc_id", text.alias("doc_key"), F.coalesce(F.nullif("title", F.lit("")), text).alias("title"), F.coalesce("url", F.lit("")).alias("url"))
+    out = ordered(named, "_o", name="doc_id")
+    return out.select("doc_id", text.alias("doc_key"), F.coalesce(F.nullif("title", F.lit("")), text).alias("title"), F.coalesce("url", F.lit("")).alias("url"), "text")
+
+
+def docs_table(rows: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """doc_id (dense ordinal), doc_key, title, url."""
+    return numbered(rows.drop("text"), key, order).drop("text")
 
 
 def postings(docs: DataFrame, stem_index: bool = False) -> DataFrame:
     """term, doc_id: one row for each distinct term of a document. Terms are raw unless stem_index."""
     out = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return with_stem(out).select("doc_id", F.col("stem").alias("term")).distinct() if stem_index else out.select("term", "doc_id")
+    if not stem_index:
+        return out.select("term", "doc_id")
+    stems = with_stem(out.select("term").distinct())  # each word once
+    return out.join(stems, "term").select("doc_id", F.col("stem").alias("term")).distinct()
 
 
 def lexicon(p: DataFrame) -> DataFrame:
@@ -41,14 +60,33 @@ def totals(docs: DataFrame) -> DataFrame:
     return s.select("docs", "total_bytes", "total_tokens", (F.col("u").cast("double") / F.col("docs")).alias("avg_unique_terms_per_doc"))
 
 
-def write(docs: DataFrame, path: str, key: str = "doc_id") -> None:
-    """docs, postings and lexicon as Parquet, terms range-partitioned and sorted so that a lookup reads few row groups."""
-    docs_table(docs, key).write.mode("overwrite").parquet(f"{path}/docs")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = postings(docs)
-    p.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    lexicon(docs.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/lexicon")
+def compact(p: DataFrame) -> DataFrame:
+    """term, df, doc_ids: a sorted list a term. A list holds all documents of its term, so it is for terms that are not too common;
+    the long form has no such bound."""
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+
+
+def write(docs: DataFrame, path: str, key: str = "doc_id", order: str | None = None) -> None:
+    """docs, postings and lexicon as Parquet under one set of ordinals; terms are range-partitioned and sorted, so that a lookup
+    reads few row groups."""
+    spark, n = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(numbered(docs, key, order), "numbered")
+    rows.drop("text").write.mode("overwrite").parquet(f"{path}/docs")
+    postings(rows).repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    words = lexicon(spark.read.parquet(f"{path}/postings"))
+    words.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
+
+
+SCHEMAS = {"docs": "doc_id long, doc_key string, title string, url string", "postings": "term string, doc_id long", "lexicon": "term string, df long"}
 
 
 def read(spark, path: str) -> dict[str, DataFrame]:
-    return {k: spark.read.parquet(f"{path}/{k}") for k in ("docs", "postings", "lexicon")}
+    """The tables of a written index; ValueError if their columns are not those of an index."""
+    out = {}
+    for name, schema in SCHEMAS.items():
+        found = spark.read.parquet(f"{path}/{name}")
+        want = [tuple(x.split()) for x in schema.split(", ")]
+        if sorted((f.name, {"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString())) for f in found.schema) != sorted(want):
+            raise ValueError(f"{path}/{name} is no table of an index: {found.schema.simpleString()}")
+        out[name] = found
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemmer import with_stem
 from ..functions.tokens import term_counts
+from .index import ordered
 
 
 def stem_counts(docs: DataFrame) -> DataFrame:
@@ -14,8 +15,9 @@ def stem_counts(docs: DataFrame) -> DataFrame:
 
 
 def ranked(docs: DataFrame) -> DataFrame:
-    """rank, term, freq: by frequency, ties by term. The vocabulary alone is ordered."""
-    return stem_counts(docs).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("freq"), "term")).cast("long")).select("rank", "term", "freq")
+    """rank, term, freq: by frequency, ties by term. The vocabulary alone is ordered, in range partitions."""
+    counts = stem_counts(docs).withColumn("_less", -F.col("freq"))
+    return ordered(counts, "_less", "term", name="rank", first=1).select("rank", "term", "freq")
 
 
 def top(docs: DataFrame, n: int = 20) -> DataFrame:
