@@ -399,3 +399,39 @@ def test_secrets_against_brute_force(spark):
     masked = secrets.redact(docs)
     assert masked.columns == docs.columns
     assert {r.doc_id: r.text or "" for r in masked.collect()} == {i: w[2] for i, w in want.items()}
+
+
+def test_packing_against_the_tokenizer(spark):
+    """Pieces, ids and their checksums of odd texts, as the tokenizer library gives them."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = [None, "", "a", " two  spaces\n\n\ttabs ", "é ß 漢字 🙂 ​", "it's don't WE'LL", "<|endoftext|> x<|endoftext|>", "x" * 5000, "many words of text " * 1500, "1234567890 3.14 --- ===", "a\r\nb\x00c"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        mine = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows if r.doc_id == i)
+        assert mine == [(k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes()), len(ids)) for k in range(0, len(ids), 2048)], i
+
+
+def test_models_on_held_out_rows(spark):
+    """Accuracy on rows that were not learned from; base columns of op7 by brute force on the same documents."""
+    d = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    docs = {r.doc_id: r for r in table.collect()}
+    said = [r for r in languages.op10_language_id(spark, d).collect() if r.held_out and r.lang_pred != "und"]
+    assert len(said) > 200 and sum(docs[r.doc_id].lang == r.lang_pred for r in said) >= 0.98 * len(said)
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    scored = [(r.score, quality[r.doc_id]) for r in quality_model.op1_quality_model(spark, d).collect() if r.held_out and r.doc_id in quality]
+    pairs = [(a > b) + (a == b) / 2 for a, x in scored for b, y in scored if x > y]
+    assert sum(pairs) / len(pairs) >= 0.95
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for r in licenses.scan(table).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (docs[r.doc_id].text or "").translate(low))
+        at = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        places = [k for k, _ in at]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))), r.doc_id
+        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
