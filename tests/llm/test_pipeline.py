@@ -1,12 +1,30 @@
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
+import public_tokenizers
+import regex
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from textquarry.llm import mixing, near_dups
+from textquarry.llm import mixing, near_dups, secrets
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def brute(texts: dict[int, str], percent: int) -> dict[int, int]:
+def shingle_set(text: str | None) -> set[tuple[str, ...]]:
+    found = words((text or "").translate(LOW))
+    return {tuple(found[k : k + 5]) for k in range(max(len(found) - 4, min(len(found), 1)))}
+
+
+def brute(texts: dict[int, str | None], percent: int) -> dict[int, int]:
     """The smallest id of each text's component."""
-    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in texts.items()}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -14,7 +32,7 @@ def brute(texts: dict[int, str], percent: int) -> dict[int, int]:
 
     for a, s in sets.items():
         for b, t in sets.items():
-            if a < b and 100 * len(s & t) >= percent * len(s | t):
+            if a < b and s & t and 100 * len(s & t) >= percent * len(s | t):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {i: find(i) for i in texts}
@@ -60,11 +78,65 @@ def test_chunks_keep_the_bound():
         assert ((rng.random((100_000, near_dups.K)) > percent / 100).sum(1) > most).mean() <= 1e-4
 
 
-def test_stages(spark):
+def masked(text: str) -> str:
+    """The text with overlapping spans of all rules replaced together."""
+    spans = sorted((m.start(), m.end()) for _, p, g, least in secrets.RULES for m in re.finditer(p, text) if len(m.group(g)) >= least)
+    out, at = "", 0
+    for start, stop in spans:
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, stop)
+    return out + text[at:]
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage on what its predecessor kept, held against a plain version: rows kept, masked texts, words taken, ids in sequences."""
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialise(stage(spark, docs, d), name)
-        assert docs.columns == columns
-    assert corpus_pipeline.packed(spark, docs, d).count() > 0
+    top = docs.agg({"doc_id": "max"}).first()[0]
+    odd = [(top + 1, "12 -- 34", "en", "s"), (top + 2, None, None, None), (top + 3, "", "en", "s"), (top + 4, "some words token=0123456789abcdef0123 é " * 9, None, "s")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string"), allowMissingColumns=True)
+    columns, before, languages = docs.columns, docs.collect(), {r.lang for r in docs.select("lang").distinct().collect()}
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, d)
+        if name == "packing":
+            after = docs.collect()
+        else:
+            docs = corpus_pipeline.materialise(docs, name)
+            after = docs.collect()
+            assert docs.columns == columns
+        seen.append(name)
+        texts = {r.doc_id: r.text for r in before}
+        if name == "language":
+            want = [(r.doc_id, r.text, r.source) for r in before if regex.search(r"\p{L}", r.text or "")]
+            assert Counter((r.doc_id, r.text, r.source) for r in after) == Counter(want) and len(want) < len(before)
+            assert {r.lang for r in after} <= languages - {None}
+        elif name == "dedup":
+            want = {i for i, root in brute(texts, 80).items() if i == root}
+            assert Counter((r.doc_id, r.text) for r in after) == Counter((i, texts[i]) for i in want) and len(want) < len(texts)
+        elif name == "secrets":
+            assert {r.doc_id: r.text for r in after} == {i: masked(t) for i, t in texts.items()} and len(after) == len(before)
+            assert any("[SECRET]" in r.text for r in after)
+        elif name == "mixing":
+            taken = Counter()
+            for r in after:
+                some = words(r.text)
+                assert some == words(texts[r.doc_id])[: len(some)]
+                taken[r.doc_id] += len(some)
+            assert taken == Counter({r["doc_id"]: r["taken"] for r in plan}) and sum(taken.values()) > 0
+        else:
+            tokenizer, want = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), Counter()
+            for r in before:
+                ids = np.array(tokenizer.encode(r.text, add_special_tokens=False).ids + [1], "<u4")
+                want.update((r.doc_id, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes()), len(ids)) for k in range(0, len(ids), 2048))
+            assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in after) == want
+            ends = {}
+            for r in sorted(after, key=lambda r: (r.sequence_id, r.offset)):
+                assert r.offset == ends.get(r.sequence_id, 0)
+                ends[r.sequence_id] = r.offset + r.length
+            assert max(ends.values()) <= 2048
+        if name == "secrets":
+            plan = mixing.plan(docs).collect()
+        before = after
+    assert seen == ["language", "dedup", "secrets", "mixing", "packing"]
