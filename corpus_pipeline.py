@@ -40,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("dedup", dedup), ("secrets", secret), ("mixing", mixture), ("packing", packed)]
 
-#: SQL has neither the learned languages nor the tokenizer; tests hold dedup and mixing against brute force, the other operators in tests of their own.
+#: SQL has neither the learned languages nor the tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
