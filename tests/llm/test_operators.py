@@ -319,6 +319,39 @@ def test_near_dups_against_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, find(i)) for i in root}
 
 
+def test_near_dups_moves_few_texts(spark, monkeypatch):
+    """Where tables are too large to broadcast, the texts of documents without copies are not shuffled, and no link is lost."""
+    rows = [(i - 300, " ".join([*[f"w{i // 2 if i < 20 else i}x{k}" for k in range(100)], f"end{i}"])) for i in range(600)]
+    moved = []
+
+    def records(plan) -> int:
+        name, inner = plan.nodeName(), plan.children()
+        if name == "AdaptiveSparkPlan":
+            return records(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return records(plan.plan())
+        own = plan.metrics().get("shuffleRecordsWritten").get().value() if name == "Exchange" else 0
+        return own + sum(records(inner.apply(i)) for i in range(inner.size()))
+
+    def spied(df, name, store=near_dups.materialise):
+        if name == "texts":
+            df.collect()
+            moved.append(records(df._jdf.queryExecution().executedPlan()))
+        return store(df, name)
+
+    monkeypatch.setattr(near_dups, "materialise", spied)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        wanted = [near_dups._wanted(spark.range(-5000, 5000).toDF("doc_id"), hubs).join(hubs, F.col("doc_id") == F.col("rep")).count() for hubs in (spark.range(-5000, 5000, 3).toDF("rep"), spark.range(0).toDF("rep"))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {r.doc_id: r.component_id for r in got} == {i - 300: (i - i % 2 if i < 20 else i) - 300 for i, _ in enumerate(rows)}
+    assert wanted == [3334, 0]
+    assert 0 < moved[0] < 200
+
+
 def drawn(rng, parsed) -> str:
     """A random match of a parsed expression."""
     out = ""

@@ -16,7 +16,7 @@ Links are found in two rounds, so that a large group costs no square: first each
 classes that share most keys with others and those with the fewest shingles of their own; then classes that are still in
 different components meet under their common keys, in blocks of bounded size, each pair under its first common key alone, and
 only pairs that can link and whose signatures are near leave a block. Signatures and texts are joined to pairs, and only texts
-of classes that share a key are moved. Components come from star contractions on tables in the shared folder; no links or labels
+of classes that share a key are moved, with those few others that a filter of their ids lets pass. Components come from star contractions on tables in the shared folder; no links or labels
 go to the driver.
 
 Null and empty texts have no shingle, link with nothing and are kept. Rows with a null doc_id link with nothing and are kept.
@@ -42,6 +42,8 @@ TOGETHER = 1 << 19
 LOST = 50_000
 #: The shares of an id that comes with several texts: with size 0, it can link with all.
 ANY = 1 << 40
+#: The filter of ids whose texts are moved: its bits an id, its most bits (16 MB), and the bits of one bitmap of Spark's.
+BITS, MOST_BITS, BITMAP = 32, 1 << 27, 1 << 15
 SEEDS = mixed(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -162,6 +164,19 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _wanted(docs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is a rep of hubs, and about one in BITS of the others, so that a join with hubs shuffles few texts
+    beside those that it keeps. The ids' hashes are marked in bitmaps, which are broadcast. Where hubs is so large that MOST_BITS bounds
+    them, more of the others pass."""
+    maps = max(1, math.ceil(min(MOST_BITS, BITS * hubs.count()) / BITMAP))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(maps * BITMAP))
+    bit = F.col("_at").bitwiseAND(F.lit(BITMAP - 1))
+    marks = hubs.select(at("rep").alias("_at")).groupBy(F.floor(F.col("_at") / BITMAP).alias("_map")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    placed = docs.withColumn("_at", at("doc_id")).withColumn("_map", F.floor(F.col("_at") / BITMAP))
+    return placed.join(F.broadcast(marks), "_map").where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*docs.columns)
+
+
 def _can_link(percent: int, m: Column, n: Column, s: Column, t: Column) -> Column:
     """Whether sets of m and n shingles that share s and t of them with others can reach the threshold with each other."""
     most = F.least(s, t)
@@ -289,7 +304,7 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
     sizes = reps.groupBy("rep").agg(F.when(one, F.min("size")).otherwise(0).alias("size"), F.when(one, F.min("size")).otherwise(ANY).alias("shares"))
     hubs = common.groupBy("rep").agg(F.sum("n").alias("degree"), F.max(F.col("n") > FEW).alias("peel"))
     hubs = materialise(hubs.join(sizes, "rep"), "hubs")
-    texts = docs.join(hubs, docs["doc_id"] == F.col("rep")).withColumn("_md5", F.md5("text")).dropDuplicates(["rep", "_md5"])
+    texts = _wanted(docs, hubs).join(hubs, F.col("doc_id") == F.col("rep")).withColumn("_md5", F.md5("text")).dropDuplicates(["rep", "_md5"])
     texts = materialise(texts.select("rep", "size", "shares", "peel", "text"), "texts")
     light = peeled(texts.where("peel"), percent)
     columns = ["key", "pos", "rep", "size", "shares", "degree"]
