@@ -54,6 +54,37 @@ def test_dedup_links_from_80(spark):
     assert {r.doc_id for r in near_dups.classes(docs).where("kept").collect()} == by[85]
 
 
+def workers(plan: str) -> int:
+    """How many Python workers a task of a physical plan holds at most: its Python nodes between exchanges, one above the other."""
+    above: list[tuple[int, int]] = []
+    most = 0
+    for line in plan.splitlines():
+        depth = re.match(r"[ :+-]*", line).end()
+        above = [x for x in above if x[0] < depth]
+        name = re.sub(r"^(\*\s*\(\d+\) )?", "", line[depth:])
+        n = 0 if "Exchange" in name.split(" ")[0] else (above[-1][1] if above else 0) + bool(re.match(r"\w*(Arrow|Pandas|Python)", name))
+        above.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_dedup_holds_one_worker_a_task(spark, monkeypatch):
+    """Links are confirmed and contracted by one Python node: each worker that a task holds stays with its executor and adds to its memory."""
+    assert workers("A\n+- MapInArrow x\n   +- *(1) Project\n      +- MapInArrow y") == 2 and workers("MapInArrow x\n+- Exchange y\n   +- MapInArrow z") == 1
+    seen, write = {}, near_dups.materialise
+
+    def noted(df, name):
+        seen[name] = max(seen.get(name, 0), workers(df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(near_dups, "materialise", noted)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(i, " ".join([*base, f"n{i}"]), "en", "s", 0) for i in range(6)] + [(9, "alone", "en", "s", 0), (10, None, "en", "s", 0)]
+    out = corpus_pipeline.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2), "")
+    assert {r.doc_id for r in out.collect()} == {0, 9, 10}
+    assert {"signatures", "peeled", "edges", "rest"} <= set(seen) and max(seen.values()) == 1 == seen["edges"], seen
+
+
 def test_repeated_ids_lose_no_text(spark):
     """A doc_id with several texts: dedup drops just the copy, and the mix takes each row, of either source, with or without words."""
     text = lambda k: " ".join(f"t{k}x{i}" for i in range(40))

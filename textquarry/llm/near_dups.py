@@ -120,13 +120,13 @@ def _contracted(batches):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node that it reaches) for each node of edges (a, b).
+    """node, root (smallest node that it reaches) for each node of edges (a > b).
 
-    Edges (a > b) are first made stars within each task. A round then moves every edge from b to the smallest neighbour of b, and
+    Those of _linked are stars within each task. A round moves every edge from b to the smallest neighbour of b, and
     joins the other smaller neighbours of a to the smallest of them; edges never get more. A large star's centre is the smallest
     node, so it is never a key of the grouped minima, and the joins on it are left sides that Spark splits when skewed. The
     rounds end when no edge moves; each at least halves the depth of the trees, so more than 64 mean an error."""
-    e = materialise(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long"), "edges")
+    e = materialise(edges.select("a", "b"), "edges")
     for _ in range(64):
         down = e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         moved = e.join(down, e["b"] == down["u"], "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
@@ -141,12 +141,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold."""
+    """The pairs whose full shingle sets meet the threshold, as the stars (a > b) that they make within each task. One function
+    does both: with two, a task would hold two Python workers."""
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("_ta"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("_tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.col("_ta").cast("binary"), F.col("_tb").cast("binary"))
 
-    def run(batches):
+    def confirmed(batches):
         import pyarrow as pa
 
         @functools.lru_cache(64)
@@ -161,7 +162,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(n > 0 and 100 * n >= percent * (len(s) + len(t) - n))
             yield pa.RecordBatch.from_arrays([x["a"], x["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lambda batches: _contracted(confirmed(batches)), "a long, b long")
 
 
 def _wanted(docs: DataFrame, hubs: DataFrame) -> DataFrame:
