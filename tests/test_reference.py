@@ -134,3 +134,29 @@ def test_crawler(spark, tmp_path):
 def test_stemmed_postings(spark):
     docs = spark.createDataFrame([(0, "runs running cats"), (1, "cat the")], "doc_id long, text string")
     assert {tuple(r) for r in index.postings(docs, True).select("doc_id", "term").collect()} == {(0, "run"), (0, "cat"), (1, "cat"), (1, "the")}
+
+
+def test_index_tasks_stay_small(spark, tmp_path, monkeypatch):
+    """Tasks follow the size of the table, not spark.sql.shuffle.partitions; texts are shuffled and stored once, as terms."""
+    docs = spark.createDataFrame([(i, None if i % 50 == 7 else " ".join(f"w{i * k % 97}" for k in range(1, 21)) + " the THE") for i in range(300, 0, -1)], "doc_id long, text string")
+    kept, shuffles = [], []
+
+    def stored(df, name):
+        kept.append(df.columns)
+        shuffles.append(df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression"))
+        return store(df, name)
+
+    store = index.stored
+    monkeypatch.setattr(index, "stored", stored)
+    monkeypatch.setattr(index, "TASK_POSTINGS", 500, raising=False)
+    monkeypatch.setattr(index, "TASK_BYTES", 2000, raising=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    index.write(docs, f"{tmp_path}/i")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    found = index.read(spark, f"{tmp_path}/i")
+    rows = [(r.term, r.doc_id) for r in found["postings"].collect()]
+    want = {(t, i - 1) for i in range(1, 301) if i % 50 != 7 for t in {f"w{i * k % 97}" for k in range(1, 21)} | {"the"}}
+    assert len(rows) == len(want) and set(rows) == want and {r.doc_id for r in found["docs"].collect()} == set(range(300))
+    files = [spark.read.parquet(str(f)).count() for f in (tmp_path / "i" / "postings").glob("part-*")]
+    assert len(files) >= len(want) // 500 > 4 and max(files) < 1500
+    assert len(kept) == 1 and "text" not in kept[0] and "terms" in kept[0] and shuffles == [1]

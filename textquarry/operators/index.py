@@ -7,28 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.stemmer import with_stem
 from ..functions.tokens import tokens
-from ..sources.store import stored
+from ..sources.store import small_splits, stored
 
+#: Postings and bytes of text of a task when an index is written: some 200 MB of its memory, so sorts do not spill, however large
+#: the table and however few spark.sql.shuffle.partitions.
+TASK_POSTINGS, TASK_BYTES = 2_000_000, 32 << 20
 
-def ordered(rows: DataFrame, *order: str, name: str = "ordinal", first: int = 0) -> DataFrame:
+
+def _parts(spark, total: int | None, each: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // each))
+
+
+def ordered(rows: DataFrame, *order: str, name: str = "ordinal", first: int = 0, parts: int = 0, then=None) -> DataFrame:
     """rows with a dense number by `order`. It comes from range partitions and their counts, not from one task; rows are stored
-    first, so that both passes see the same partitions."""
-    columns = rows.columns
-    cells = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    first, so that both passes see the same partitions. parts: least number of them. then: what to make of the ordered rows before
+    they are stored."""
+    cells = rows.repartitionByRange(max(parts, _parts(rows.sparkSession, 0, 1)), *order).sortWithinPartitions(*order)
+    cells = then(cells) if then else cells
+    columns = cells.columns
     cells = stored(cells.select("*", F.monotonically_increasing_id().alias("_m")), "ordered").withColumn("_p", F.shiftrightunsigned("_m", 33))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition, so few that every task gets them
     counts = cells.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    return cells.join(counts, "_p").select(*columns, (F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + first).alias(name))
+    return cells.join(F.broadcast(counts), "_p").select(*columns, (F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + first).alias(name))
 
 
-def numbered(rows: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
-    """doc_id (dense ordinal in the order of `order`, else of the key), doc_key, title, url, and text if rows have it. Documents,
-    postings and pages all take their ordinals from here. Rows that repeat a key have ordinals of their own."""
+def numbered(rows: DataFrame, key: str = "doc_id", order: str | None = None, parts: int = 0, then=None) -> DataFrame:
+    """doc_id (dense ordinal in the order of `order`, else of the key), doc_key, title, url, and text if rows have it, or what
+    `then` makes of it. Documents, postings and pages all take their ordinals from here. Rows that repeat a key have ordinals of
+    their own."""
     optional = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("title", "url", "text")]
     named = rows.select(F.col(order or key).alias("_o"), F.col(key).alias("_k"), *optional)
     text = F.col("_k").cast("string")
-    out = ordered(named, "_o", name="doc_id")
-    return out.select("doc_id", text.alias("doc_key"), F.coalesce(F.nullif("title", F.lit("")), text).alias("title"), F.coalesce("url", F.lit("")).alias("url"), "text")
+    out = ordered(named, "_o", name="doc_id", parts=parts, then=then)
+    rest = [c for c in out.columns if c not in ("_o", "_k", "title", "url", "doc_id")]
+    return out.select("doc_id", text.alias("doc_key"), F.coalesce(F.nullif("title", F.lit("")), text).alias("title"), F.coalesce("url", F.lit("")).alias("url"), *rest)
 
 
 def docs_table(rows: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
@@ -68,13 +80,18 @@ def compact(p: DataFrame) -> DataFrame:
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", order: str | None = None) -> None:
     """docs, postings and lexicon as Parquet under one set of ordinals; terms are range-partitioned and sorted, so that a lookup
-    reads few row groups."""
-    spark, n = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(numbered(docs, key, order), "numbered")
-    rows.drop("text").write.mode("overwrite").parquet(f"{path}/docs")
-    postings(rows).repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    words = lexicon(spark.read.parquet(f"{path}/postings"))
-    words.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
+    reads few row groups. Texts are shuffled once and cut into terms once; only the terms are stored."""
+    spark = docs.sparkSession
+    with small_splits(spark):
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] if "text" in docs.columns else 0
+        words = lambda x: x.withColumn("text", F.array_distinct(tokens(F.col("text")))).withColumnRenamed("text", "terms").withColumn("n", F.size("terms"))
+        rows = numbered(docs, key, order, _parts(spark, size, TASK_BYTES), words)
+        rows.drop("terms", "n").write.mode("overwrite").parquet(f"{path}/docs")
+        n = _parts(spark, rows.agg(F.sum("n")).first()[0], TASK_POSTINGS)
+        long = rows.select(F.explode("terms").alias("term"), "doc_id")
+        long.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        lex = lexicon(spark.read.parquet(f"{path}/postings"))
+        lex.repartitionByRange(_parts(spark, 0, 1), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
 
 
 SCHEMAS = {"docs": "doc_id long, doc_key string, title string, url string", "postings": "term string, doc_id long", "lexicon": "term string, df long"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -34,3 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def small_splits(spark: SparkSession, most: int = 8 << 20):
+    """Within, a task reads no more than some 8 MB of files, or a row group."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before, now = spark.conf.get(name), spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    spark.conf.set(name, str(min(now, most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
