@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from textquarry.functions import stemmer, tokens
 from textquarry.operators import index, search, zipf
+from textquarry.plans import registry
 from textquarry.sources import corpus
 
 STEMS = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall filing file happy happi sky sky relational relat generalization gener running run mathematics mathemat applied appli displaystyle displaystyl adoption adopt controlled control replacement replac hopefulness hope technology technolog geology geologi possibly possibli probably probabl this thi is is 1990s 1990 1990 1990 byyed by function function trivial trivial thes the".split()
@@ -160,3 +161,20 @@ def test_index_tasks_stay_small(spark, tmp_path, monkeypatch):
     files = [spark.read.parquet(str(f)).count() for f in (tmp_path / "i" / "postings").glob("part-*")]
     assert len(files) >= len(want) // 500 > 4 and max(files) < 1500
     assert len(kept) == 1 and "text" not in kept[0] and "terms" in kept[0] and shuffles == [1]
+
+
+def test_bool_not_over_many_small_tasks(spark, monkeypatch):
+    """Terms that several files share, and an index written with one copy of the documents, answer as the SQL does."""
+    import duckdb
+
+    folder, kept, store = "/root/testdata/sf0.001", [], index.stored
+    monkeypatch.setattr(registry, "_INDEXES", {})
+    monkeypatch.setattr(index, "stored", lambda df, name: kept.append(name) or store(df, name))
+    monkeypatch.setattr(index, "TASK_POSTINGS", 2000, raising=False)
+    monkeypatch.setattr(index, "TASK_BYTES", 20_000, raising=False)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name in ("bool_not", "bool_and", "index_lexicon", "index_postings"):
+        got = sorted(tuple(r) for r in registry.QUERIES[name](spark, folder).collect())
+        assert got == sorted(con.execute(registry.SQL[name]).fetchall()) and got, name
+    assert kept == ["ordered"]
