@@ -178,3 +178,15 @@ def test_bool_not_over_many_small_tasks(spark, monkeypatch):
         got = sorted(tuple(r) for r in registry.QUERIES[name](spark, folder).collect())
         assert got == sorted(con.execute(registry.SQL[name]).fetchall()) and got, name
     assert kept == ["ordered"]
+
+
+def test_texts_are_cut_into_terms_once(spark, tmp_path, monkeypatch):
+    """Range partitions are sampled, which runs what stands below them a second time: texts are cut above the only one that has them."""
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, title string")
+    frame, sampled = type(docs), []
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: sampled.append(self._jdf.queryExecution().optimizedPlan().toString()) or deal(self, *a))
+    index.write(docs, f"{tmp_path}/i")
+    found = index.read(spark, f"{tmp_path}/i")
+    assert len(sampled) == 3 and not any("regexp_extract_all" in x for x in sampled)
+    assert {r.doc_id for r in search.hits("the algorithm", found["docs"], found["postings"]).collect()} == {1}
